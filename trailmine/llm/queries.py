@@ -24,6 +24,22 @@ def p1_patterns(spark: SparkSession, data: str) -> DataFrame:
     return frequent_patterns(table(spark, data, "session_event")).select(F.array_join("pattern", " > ").alias("pattern"), "streams")
 
 
+def _conversations(spark: SparkSession, data: str):
+    from .chats import rebuild
+    from .linkage import rejected_lines
+
+    lines, files = table(spark, data, "raw_line"), table(spark, data, "source_file")
+    return rebuild(lines, files, rejected_lines(lines, files).select(F.col("dup_id").alias("line_id")))
+
+
+def p3_found(spark: SparkSession, data: str) -> DataFrame:
+    return _conversations(spark, data).defects
+
+
+def p3_turns(spark: SparkSession, data: str) -> DataFrame:
+    return _conversations(spark, data).turns
+
+
 def p4_found(spark: SparkSession, data: str) -> DataFrame:
     from .linkage import rejected_lines
 
@@ -73,8 +89,48 @@ def p7_counts(spark: SparkSession, data: str) -> DataFrame:
     return top_values(table(spark, data, "session_event"))
 
 
+def p8_found(spark: SparkSession, data: str) -> DataFrame:
+    from .leaks import leaked
+
+    return leaked(table(spark, data, "documents"), table(spark, data, "eval_item")).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, data: str) -> DataFrame:
+    from .leaks import leaked, removal_spans
+
+    spans = removal_spans(leaked(table(spark, data, "documents"), table(spark, data, "eval_item")))
+    return spans.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
+def p9_shares(spark: SparkSession, data: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, data, "documents"), table(spark, data, "mix_target")).shares
+
+
+def p9_selection(spark: SparkSession, data: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, data, "documents"), table(spark, data, "mix_target")).selection
+
+
+def p10_found(spark: SparkSession, data: str) -> DataFrame:
+    from .residue import residue
+
+    return residue(table(spark, data, "documents")).select("doc_id")
+
+
+def p10_clean(spark: SparkSession, data: str) -> DataFrame:
+    from .residue import clean
+
+    return clean(table(spark, data, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_patterns, p4_found, p5_found, p5_seen, p5_rate, p6_found, p6_runs, p7_found, p7_counts)}
+    return {f.__name__: f for f in (
+        p1_found, p1_patterns, p3_found, p3_turns, p4_found, p5_found, p5_seen, p5_rate, p6_found, p6_runs, p7_found, p7_counts,
+        p8_found, p8_spans, p9_selection, p9_shares, p10_found, p10_clean,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
