@@ -6,9 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p2_found(spark: SparkSession, data: str) -> DataFrame:
+    from .operators.drift import schema_changes
+
+    return schema_changes(table(spark, data, "log_line"), table(spark, data, "log_file"))
+
+
+def p2_table(spark: SparkSession, data: str) -> DataFrame:
+    from .operators.drift import consistent_table
+
+    return consistent_table(table(spark, data, "log_line"), table(spark, data, "log_file"))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (p2_found, p2_table)}
 
 
 def oracle_sql() -> dict[str, str]:
