@@ -76,13 +76,13 @@ def within_edits(x: list[str], y: list[str], most: int = EDITS) -> int:
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         own, keys, probe = [], [], []
-        for ckey, block, words in zip(*(b.column(x).to_pylist() for x in ("ckey", "block", "words"))):
+        for tid, block, words in zip(*(b.column(x).to_pylist() for x in ("tid", "block", "words"))):
             found = index_keys(block, words) if len(words) >= MIN_WORDS else []
             asked = probe_keys(block, words)
-            own += [ckey] * (len(found) + len(asked))
+            own += [tid] * (len(found) + len(asked))
             keys += found + asked
             probe += [False] * len(found) + [True] * len(asked)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(keys, pa.int64()), pa.array(probe, pa.bool_())], names=["ckey", "skey", "probe"])
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(keys, pa.int64()), pa.array(probe, pa.bool_())], names=["tid", "skey", "probe"])
 
 
 def _check_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,92 +151,122 @@ class Weights:
         return float(sum(w[v] for w, v in zip(self.weights, pattern)))
 
 
+#: What a key of a line stands for, by its first letter, and whether the line is in the group or only near it.
+EVIDENCE = {"u": "gkey like 'u%'", "t": "gkey like 't%'", "x": "gkey like 'x%' and member", "n": "not member"}
+
+
+def _firsts(rows: DataFrame, column: str) -> DataFrame:
+    """line_id, first_id: the smallest line that a line is held against, and
+    u, t, x: in what the two agree."""
+    low = rows.groupBy("line_id").agg(*[F.min(F.when(F.expr(where), F.col(column))).alias(k) for k, where in EVIDENCE.items()])
+    first = F.least(*EVIDENCE)
+    same = lambda k: F.coalesce(F.col(k) == first, F.lit(False))
+    return low.select("line_id", first.alias("first_id"), same("u").cast("int").alias("u"), same("t").cast("int").alias("t"), F.when(same("x"), 2).when(same("n"), 1).otherwise(0).alias("x"))
+
+
 class LinkIndex:
     """Accepted lines as persisted tables under `path`: groups (key, first
     accepted line), texts (distinct texts), segments (blocking key, text) and
-    links (rejected line, accepted line, score)."""
+    links (rejected line, accepted line, score).
+
+    The first three are bucketed by their key, so that a batch's keys come to
+    the tables and the tables themselves are never shuffled again.
+    """
 
     SCHEMAS = {
         "groups": "gkey string, first long",
-        "texts": "ckey string, words array<string>",
-        "segments": "skey long, ckey string",
+        "texts": "tid long, ckey string, words array<string>",
+        "segments": "skey long, tid long",
         "links": "first_id long, dup_id long, score double",
     }
+    KEYS = {"groups": "gkey", "texts": "tid", "segments": "skey"}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.calls = spark, path, 0
+        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.name = "link_" + path.rstrip("/").rpartition("/")[0].rpartition("-")[2]
         self.weights = Weights()
         for name in self.SCHEMAS:
             self._write(spark.createDataFrame([], self.SCHEMAS[name]), name)
 
     def _write(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").parquet(f"{self.path}/{name}")
+        key = self.KEYS.get(name)
+        if key:
+            df = df.repartition(self.buckets, key)
+            df.write.mode("append").format("parquet").bucketBy(self.buckets, key).option("path", f"{self.path}/{name}").saveAsTable(f"{self.name}_{name}")
+        else:
+            df.write.mode("append").parquet(f"{self.path}/{name}")
 
     def read(self, name: str) -> DataFrame:
+        if name in self.KEYS:
+            return self.spark.table(f"{self.name}_{name}")
         return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
+    def _near(self, lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(distinct texts, their segments, pairs of near texts with edits) of
+        the lines: each text against those of the index and of the lines."""
+        texts = lines.where("ckey is not null").groupBy("ckey").agg(F.first("block").alias("block"), F.first("words").alias("words"))
+        texts = scratch.save(texts.withColumn("tid", F.xxhash64("ckey")), "texts")
+        keys = scratch.save(texts.mapInArrow(_segment_rows, "tid long, skey long, probe boolean"), "segments")
+        probes = keys.where("probe").select("skey", "tid")
+        now = texts.select("tid", "ckey", "words")
+
+        def pairs(known: DataFrame, known_texts: DataFrame) -> DataFrame:
+            met = probes.join(known.withColumnRenamed("tid", "known_tid"), "skey").where("tid <> known_tid").select("tid", "known_tid").distinct()
+            met = met.join(known_texts.select(F.col("tid").alias("known_tid"), F.col("ckey").alias("known"), F.col("words").alias("known_words")), "known_tid")
+            return met.join(now, "tid").select("ckey", "words", "known", "known_words").where("ckey <> known")
+
+        both = pairs(self.read("segments"), self.read("texts")).unionByName(pairs(keys.where(~F.col("probe")).select("skey", "tid"), now))
+        return texts, keys, scratch.save(both.mapInArrow(_check_rows, "ckey string, known string, edits int"), "near")
+
     def add(self, lines: DataFrame) -> None:
         """Links the next lines, all of which come after those added before."""
         self.calls += 1
         scratch = Scratch(self.spark, f"link{self.calls}")
-        texts = lines.where("ckey is not null").groupBy("ckey").agg(F.first("block").alias("block"), F.first("words").alias("words"))
-        texts = scratch.save(texts, "texts")
-        keys = scratch.save(texts.mapInArrow(_segment_rows, "ckey string, skey long, probe boolean"), "segments")
-        known = self.read("segments").unionByName(keys.where(~F.col("probe")).select("skey", "ckey")).withColumnRenamed("ckey", "known")
-        pairs = keys.where("probe").join(known, "skey").where("ckey <> known").select("ckey", "known").distinct()
-        all_texts = self.read("texts").unionByName(texts.where(F.size("words") >= MIN_WORDS).select("ckey", "words")).dropDuplicates(["ckey"])
-        pairs = pairs.join(texts.select("ckey", "words"), "ckey").join(all_texts.select(F.col("ckey").alias("known"), F.col("words").alias("known_words")), "known")
-        near = scratch.save(pairs.mapInArrow(_check_rows, "ckey string, known string, edits int"), "near")
+        texts, keys, near = self._near(lines, scratch)
         # What a line can be held against: its own groups and the groups of texts near its own.
         own = lines.select("line_id", F.explode("groups").alias("gkey"), F.lit(True).alias("member"))
         close = near.where(F.col("edits") <= EDITS).select("ckey", F.concat(F.lit("x"), "known").alias("gkey"))
         held = own.unionByName(lines.where("ckey is not null").select("line_id", "ckey").join(close, "ckey").select("line_id", "gkey", F.lit(False).alias("member")))
         held = scratch.save(held.join(self.read("groups"), "gkey", "left"), "held")
-        old = held.where("first is not null").groupBy("line_id").agg(F.min("first").alias("first_id"))
-        decided = scratch.save(lines.select("line_id").join(old, "line_id", "left").select("line_id", "first_id", F.col("first_id").isNotNull().alias("done")), "decided0")
-        # Within the call: a line is accepted if nothing before it that it is held against is left, and rejected if the first that is left is accepted.
-        for turn in range(1, 1_000_000):
-            # Only what is neither rejected nor decided long ago takes part; rejected lines leave their groups.
-            left = held.join(decided.where("first_id is null"), "line_id", "left_semi")
-            lowest = left.where("member").groupBy("gkey").agg(F.min("line_id").alias("low"))
-            ask = held.join(decided.where(~F.col("done")), "line_id", "left_semi").join(lowest, "gkey").groupBy("line_id").agg(F.min("low").alias("low"))
-            state = decided.join(ask, "line_id", "left")
-            state = scratch.save(state.withColumn("accepted", F.col("first_id").isNull() & (F.col("done") | F.coalesce(F.col("low") >= F.col("line_id"), F.lit(True)))), f"state{turn}")
-            good = state.where("accepted").select(F.col("line_id").alias("low"), F.lit(True).alias("good"))
-            state = state.join(good, "low", "left")
-            rejects = ~F.col("done") & ~F.col("accepted") & F.coalesce("good", F.lit(False))
-            decided = scratch.save(
-                state.select("line_id", F.when(rejects, F.col("low")).otherwise(F.col("first_id")).alias("first_id"), (F.col("done") | F.col("accepted") | rejects).alias("done")), f"decided{turn}"
-            )
-            if decided.where(~F.col("done")).isEmpty():
+        links = scratch.save(_firsts(held.where("first is not null"), "first"), "links0")
+        # Within the call only keys that several lines have decide anything: the other lines are accepted.
+        fresh = held.drop("first").join(links, "line_id", "left_anti")
+        lowest = fresh.where("member").groupBy("gkey").agg(F.min("line_id").alias("low"))
+        open_ = scratch.save(_firsts(fresh.join(lowest, "gkey").where("low < line_id"), "low"), "open0")
+        turn = 0
+        while True:
+            # A line whose first counterpart is accepted for good is rejected; the others wait.
+            turn += 1
+            waiting = open_.select(F.col("line_id").alias("first_id"))
+            links = scratch.save(links.unionByName(open_.join(waiting, "first_id", "left_anti").select(links.columns)), f"links{turn}")
+            rest = open_.join(links, "line_id", "left_anti").select("line_id")
+            rest = scratch.save(rest, f"rest{turn}")
+            if rest.isEmpty():
                 break
-        links = decided.where("first_id is not null").select("first_id", F.col("line_id").alias("dup_id"))
-        self._write(self._scored(links, held, decided, near), "links")
-        new = held.where("member").join(decided.where("first_id is null"), "line_id", "left_semi").groupBy("gkey").agg(F.min("line_id").alias("first"))
-        self._write(new, "groups")
-        taken = lines.where(F.size("words") >= MIN_WORDS).join(decided.where("first_id is null"), "line_id", "left_semi").select("ckey").distinct()
-        taken = taken.join(self.read("texts").select("ckey"), "ckey", "left_anti")
-        taken = scratch.save(taken, "taken")
-        self._write(keys.where(~F.col("probe")).join(taken, "ckey", "left_semi").select("skey", "ckey"), "segments")
-        self._write(texts.join(taken, "ckey", "left_semi").select("ckey", "words"), "texts")
+            # Rejected lines leave their groups; what waits is held against what is left there.
+            mine = fresh.join(rest, "line_id", "left_semi")
+            there = fresh.where("member").join(mine.select("gkey").distinct(), "gkey", "left_semi").join(links, "line_id", "left_anti")
+            lowest = there.groupBy("gkey").agg(F.min("line_id").alias("low"))
+            open_ = scratch.save(_firsts(mine.join(lowest, "gkey").where("low < line_id"), "low"), f"open{turn}")
+        self._write(self._scored(links, lines, near), "links")
+        accepted = fresh.where("member").join(links, "line_id", "left_anti")
+        self._write(accepted.groupBy("gkey").agg(F.min("line_id").alias("first")), "groups")
+        # A text is new to the index if its group is.
+        taken = accepted.where("gkey like 'x%'").select(F.substring("gkey", 2, 32).alias("ckey")).distinct()
+        taken = scratch.save(texts.join(taken, "ckey", "left_semi").select("tid", "ckey", "words"), "taken")
+        self._write(keys.where(~F.col("probe")).join(taken, "tid", "left_semi").select("skey", "tid"), "segments")
+        self._write(taken, "texts")
         scratch.remove()
 
-    def _scored(self, links: DataFrame, held: DataFrame, decided: DataFrame, near: DataFrame) -> DataFrame:
-        """Links with the score of their agreement pattern, at the threshold or above."""
-        mine = held.select(F.col("line_id").alias("dup_id"), "gkey", "member").join(links, "dup_id")
-        # A group agrees if its first accepted line is the one linked to.
-        firsts = held.where("member").join(decided.where("first_id is null"), "line_id", "left_semi").groupBy("gkey").agg(F.min("line_id").alias("at"))
-        mine = mine.join(firsts.unionByName(self.read("groups").withColumnRenamed("first", "at")).groupBy("gkey").agg(F.min("at").alias("at")), "gkey").where("at = first_id")
-        of = F.substring("gkey", 1, 1)
-        text = F.when(of == "x", F.when(F.col("member"), 2).otherwise(1)).otherwise(0)
-        agree = mine.groupBy("first_id", "dup_id").agg(F.max((of == "u").cast("int")).alias("u"), F.max((of == "t").cast("int")).alias("t"), F.max(text).alias("x"))
-        agree = Scratch(self.spark, "agree").save(agree, "agree")
-        counts = {(r["u"], r["t"], r["x"]): r["n"] for r in agree.groupBy("u", "t", "x").agg(F.count(F.lit(1)).alias("n")).collect()}
+    def _scored(self, links: DataFrame, lines: DataFrame, near: DataFrame) -> DataFrame:
+        """Links with the score of what they agree in, at the threshold or above."""
+        counts = {(r["u"], r["t"], r["x"]): r["n"] for r in links.groupBy("u", "t", "x").agg(F.count(F.lit(1)).alias("n")).collect()}
         # Pairs that agree in nothing: candidates that the blocking brought, and each line with any other one.
-        counts[0, 0, 0] = counts.get((0, 0, 0), 0) + near.where(F.col("edits") > EDITS).count() + decided.count()
+        counts[0, 0, 0] = near.where(F.col("edits") > EDITS).count() + lines.count()
         self.weights.learn(counts)
         w = [F.element_at(F.array(*[F.lit(float(v)) for v in ws]), F.col(c) + 1) for ws, c in zip(self.weights.weights, "utx")]
-        scored = agree.select("first_id", "dup_id", (w[0] + w[1] + w[2]).alias("score"))
+        scored = links.select("first_id", F.col("line_id").alias("dup_id"), (w[0] + w[1] + w[2]).alias("score"))
         return scored.where(F.col("score") >= self.weights.threshold - 1e-9)
 
 
