@@ -32,12 +32,16 @@ def uuid_form(col: Column) -> Column:
     """32 lower-case hex digits of a 128-bit identifier however it is written
     (case, braces, parentheses, urn:uuid:, 0x, hyphens or none, outer blanks);
     null for blanks, the all-zero identifier and what is no identifier."""
+    usual = col.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
     bare = F.lower(strip(col))
     bare = F.regexp_replace(bare, r"^(urn:)?(uuid:|guid:)", "")
     bare = F.regexp_replace(bare, r"^[{(\[\"']+|[})\]\"']+$", "")
     bare = F.regexp_replace(bare, r"^0x", "")
-    digits = F.translate(bare, "-", "")
-    return F.when(digits.rlike("^[0-9a-f]{32}$") & (digits != "0" * 32), digits)
+    odd = F.translate(bare, "-", "")
+    odd = F.when(odd.rlike("^[0-9a-f]{32}$"), odd)
+    # Most are written in the usual way and skip the other steps.
+    digits = F.when(usual, F.translate(col, "-", "")).otherwise(odd)
+    return F.nullif(digits, F.lit("0" * 32))
 
 
 def session_form(line: Column, of_file: Column) -> Column:

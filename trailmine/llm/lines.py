@@ -25,7 +25,8 @@ def read_lines(raw_line: DataFrame, source_file: DataFrame) -> DataFrame:
     blocks = F.when(is_list, F.filter(F.from_json(content, BLOCKS), lambda b: b.isNotNull()))
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), " ")
     single = F.when(is_text, F.expr("try_variant_get(try_parse_json(message.content), '$', 'string')"))
-    lines = raw_line.join(files, "file_id", "left")
+    needed = raw_line.select("line_id", "batch_no", "file_id", "line_no", "type", "uuid", "sessionid", "issidechain", "ismeta", "message")
+    lines = needed.join(files, "file_id", "left")
     return lines.select(
         "line_id", "batch_no", "file_id", "line_no",
         session_form(F.col("sessionid"), F.col("_session")).alias("session"),
@@ -52,5 +53,5 @@ def has_tools(blocks: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Words parted by white space, in lower case without punctuation."""
-    parts = F.split(F.lower(text), r"(?U)\s+")
-    return F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"[^\p{L}\p{M}\p{N}]+", "")), lambda w: w != "")
+    bare = F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{M}\p{N}\s]+", "")
+    return F.array_remove(F.split(bare, r"(?U)\s+"), "")
