@@ -134,4 +134,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .sql import ORACLES
+
+    return dict(ORACLES)

@@ -64,7 +64,8 @@ class SeenFilter:
 
 def mark_seen(rows: DataFrame, key: Column, place: str, batches: int = 4) -> DataFrame:
     """The rows' places (unique) with seen: was the key in a row of smaller
-    place? A null key was never seen before.
+    place? A null key was never seen before, nor was a row without a place;
+    repeated rows get the same answer.
 
     The rows pass through the filter in `batches` ranges of place, in order;
     answers don't depend on their number. No rows give no rows.
@@ -82,7 +83,7 @@ def mark_seen(rows: DataFrame, key: Column, place: str, batches: int = 4) -> Dat
     first = seen.passed().select("place", F.lit(True).alias("first"))
     # By place, which is unique: a key that a third of the rows share is no hot key here.
     marked = keyed.join(first, "place", "left")
-    return marked.select(F.col("place").alias(place), (F.col("key").isNotNull() & F.col("first").isNull()).alias("seen"))
+    return marked.select(F.col("place").alias(place), (F.col("key").isNotNull() & F.col("place").isNotNull() & F.col("first").isNull()).alias("seen"))
 
 
 def seen_lines(raw_line: DataFrame, batches: int = 4) -> DataFrame:
