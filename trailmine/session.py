@@ -64,6 +64,12 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
+    @classmethod
+    def at_path(cls, spark: SparkSession, path: str) -> Scratch:
+        self = cls.__new__(cls)
+        self.spark, self.path = spark, path
+        return self
+
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
@@ -72,7 +78,7 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.at(name))
-        return self.spark.read.schema(df.schema).parquet(self.at(name)) if not partition_by else self.spark.read.parquet(self.at(name))
+        return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def remove(self, name: str = "") -> None:
         target = self.at(name) if name else self.path
