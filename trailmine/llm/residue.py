@@ -190,7 +190,7 @@ def placeholders(text: str) -> int:
 
 def repeated(words: list[str]) -> bool:
     """A text of a few words over and over: asdf asdf asdf, test test 123."""
-    return len(words) >= 8 and len(set(words)) <= max(1, len(words) // 6)
+    return len(words) >= 8 and len(set(words)) <= min(6, max(1, len(words) // 6))
 
 
 def shares(text: str, most_real: int = 1 << 30) -> tuple[int, int, int]:
