@@ -10,34 +10,38 @@ from .canon import session_form, strip, uuid_form
 BLOCKS = "array<struct<type:string,text:string,id:string,tool_use_id:string>>"
 
 
-def read_lines(raw_line: DataFrame, source_file: DataFrame) -> DataFrame:
+def read_lines(raw_line: DataFrame, source_file: DataFrame, derived: dict[str, Column]) -> DataFrame:
     """line_id, batch_no, file_id, line_no, session, kind (type), role, meta,
-    side, key (uuid form), blocks, text.
+    side, key (uuid form) and the derived columns, which can use blocks and text.
 
     content is a JSON string (one text) or an array of blocks; what is neither
     gives no text and no blocks. text joins the text blocks with blanks. A
     line whose file is unknown and that names no session has a null session.
+    What is derived is formed before the lines meet their files, so that
+    contents are never shuffled.
     """
-    files = source_file.select(F.col("file_id"), F.col("session").alias("_session")).groupBy("file_id").agg(F.min("_session").alias("_session"))
     content = F.col("message.content")
     is_list = F.coalesce(F.ltrim(content).startswith("["), F.lit(False))
     is_text = F.coalesce(F.ltrim(content).startswith('"'), F.lit(False))
     blocks = F.when(is_list, F.filter(F.from_json(content, BLOCKS), lambda b: b.isNotNull()))
-    joined = F.array_join(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), " ")
+    joined = F.array_join(F.transform(F.filter("blocks", lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), " ")
     single = F.when(is_text, F.expr("try_variant_get(try_parse_json(message.content), '$', 'string')"))
     needed = raw_line.select("line_id", "batch_no", "file_id", "line_no", "type", "uuid", "sessionid", "issidechain", "ismeta", "message")
-    lines = needed.join(files, "file_id", "left")
-    return lines.select(
-        "line_id", "batch_no", "file_id", "line_no",
-        session_form(F.col("sessionid"), F.col("_session")).alias("session"),
+    lines = needed.select(
+        "line_id", "batch_no", "file_id", "line_no", "sessionid",
         F.lower(strip(F.col("type"))).alias("kind"),
         F.col("message.role").alias("role"),
         F.coalesce("ismeta", F.lit(False)).alias("meta"),
         F.coalesce("issidechain", F.lit(False)).alias("side"),
         uuid_form(F.col("uuid")).alias("key"),
         F.coalesce(blocks, F.array().cast(BLOCKS)).alias("blocks"),
-        F.coalesce(single, joined, F.lit("")).alias("text"),
+        single.alias("single"),
     )
+    lines = lines.withColumn("text", F.coalesce("single", joined, F.lit("")))
+    lines = lines.select("line_id", "batch_no", "file_id", "line_no", "sessionid", "kind", "role", "meta", "side", "key", *[c.alias(n) for n, c in derived.items()])
+    files = source_file.select("file_id", F.col("session").alias("_session")).groupBy("file_id").agg(F.min("_session").alias("_session"))
+    session = session_form(F.col("sessionid"), F.col("_session")).alias("session")
+    return lines.join(files, "file_id", "left").select("line_id", "batch_no", "file_id", "line_no", session, "kind", "role", "meta", "side", "key", *derived)
 
 
 def tool_ids(blocks: Column) -> Column:

@@ -94,15 +94,15 @@ def _check_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prepare(raw_line: DataFrame, source_file: DataFrame) -> DataFrame:
     """line_id, batch_no, groups (keys that equal lines share), ckey, block and
     words of its text where that can be compared."""
-    lines = read_lines(raw_line, source_file)
-    block = F.concat_ws("\x1e", "session", "kind")
-    ids = tool_ids(F.col("blocks"))
-    open_ = ~F.col("meta") & F.col("session").isNotNull() & F.col("kind").isNotNull()
+    derived = {
+        "tools": F.when(~F.col("meta"), F.array_join(tool_ids(F.col("blocks")), "\x1f")),
+        "words": F.when(~F.col("meta") & ~has_tools(F.col("blocks")), plain_words(F.col("text"))),
+    }
+    lines = read_lines(raw_line, source_file, derived)
+    known = F.col("session").isNotNull() & F.col("kind").isNotNull()
     lines = lines.select(
-        "line_id", "batch_no", "key",
-        F.when(open_, block).alias("block"),
-        F.when(open_ & (F.size(ids) > 0), F.array_join(ids, "\x1f")).alias("tools"),
-        F.when(open_ & ~has_tools(F.col("blocks")), plain_words(F.col("text"))).alias("words"),
+        "line_id", "batch_no", "key", F.when(known & ~F.col("meta"), F.concat_ws("\x1e", "session", "kind")).alias("block"),
+        F.when(known & (F.col("tools") != ""), F.col("tools")).alias("tools"), F.when(known, F.col("words")).alias("words"),
     )
     enough = F.size("words") >= MIN_WORDS - EDITS
     ckey = F.when(enough, F.md5(F.concat_ws("\x1d", "block", F.array_join("words", "\x1f"))))
@@ -202,6 +202,12 @@ class LinkIndex:
             return self.spark.table(f"{self.name}_{name}")
         return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
+    def drop(self) -> None:
+        """Removes the key tables; the links stay."""
+        for name in self.KEYS:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name}")
+            Scratch.at_path(self.spark, f"{self.path}/{name}").remove()
+
     def _near(self, lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(distinct texts, their segments, pairs of near texts with edits) of
         the lines: each text against those of the index and of the lines."""
@@ -296,9 +302,13 @@ def link_batches(raw_line: DataFrame, source_file: DataFrame, call_lines: int =
     index = index or LinkIndex(spark, scratch.at("index"))
     for c in range(call + 1 if calls else 0):
         index.add(spark.read.schema(lines.drop("call").schema).parquet(scratch.at(f"lines/call={c}")))
+    scratch.remove("lines")
     return index
 
 
 def rejected_lines(raw_line: DataFrame, source_file: DataFrame, call_lines: int = CALL_LINES) -> DataFrame:
-    """first_id, dup_id, score."""
-    return link_batches(raw_line, source_file, call_lines).read("links")
+    """first_id, dup_id, score. The index is dropped once the links are there;
+    link_batches keeps one for the batches to come."""
+    index = link_batches(raw_line, source_file, call_lines)
+    index.drop()
+    return index.read("links")
