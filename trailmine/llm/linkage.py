@@ -10,11 +10,12 @@ mapping leads from a rejected line to the accepted one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -28,6 +29,7 @@ CALL_LINES = 60_000
 PARTS = EDITS + 1
 
 
+@lru_cache(maxsize=4096)
 def segments(n: int) -> list[tuple[int, int]]:
     """Start and size of EDITS + 1 even segments of n words: two texts within
     EDITS word edits agree in one of them."""
@@ -36,23 +38,41 @@ def segments(n: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), sizes[k]) for k in range(PARTS)]
 
 
-def _hash(block: str, n: int, k: int, words: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join((block, str(n), str(k), *words))) - (1 << 63)
+_PRIME = (1 << 61) - 1
+_BASE = 1_000_003_919
+
+
+class _Keys:
+    """Blocking keys of one text: rolling hashes of its word ranges."""
+
+    def __init__(self, block: str, words: list[str]):
+        self.own, self.sums = xxhash.xxh64_intdigest(block), [0]
+        for w in words:
+            self.sums.append((self.sums[-1] * _BASE + xxhash.xxh64_intdigest(w)) % _PRIME)
+
+    def at(self, n: int, k: int, start: int, size: int) -> int:
+        ranged = (self.sums[start + size] - self.sums[start] * _POWERS[size]) % _PRIME if size < len(_POWERS) else (self.sums[start + size] - self.sums[start] * pow(_BASE, size, _PRIME)) % _PRIME
+        mixed = (ranged * 3 + k) * 0x9E3779B97F4A7C15 + n * 0xC2B2AE3D27D4EB4F + self.own
+        return ((mixed ^ (mixed >> 29)) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+_POWERS = [pow(_BASE, k, _PRIME) for k in range(256)]
 
 
 def index_keys(block: str, words: list[str]) -> list[int]:
-    return [_hash(block, len(words), k, words[a : a + m]) for k, (a, m) in enumerate(segments(len(words)))]
+    keys = _Keys(block, words)
+    return [keys.at(len(words), k, a, m) for k, (a, m) in enumerate(segments(len(words)))]
 
 
 def probe_keys(block: str, words: list[str]) -> list[int]:
     """Keys of all segments of texts of EDITS words more or fewer that can
     match here: at each segment only the shifts that leave enough edits."""
-    out = set()
+    keys, out = _Keys(block, words), set()
     for n in range(max(MIN_WORDS, len(words) - EDITS), len(words) + EDITS + 1):
         more = len(words) - n
         for k, (a, m) in enumerate(segments(n)):
             for at in range(max(0, a - k, a + more - (EDITS - k)), min(len(words) - m, a + k, a + more + (EDITS - k)) + 1):
-                out.add(_hash(block, n, k, words[at : at + m]))
+                out.add(keys.at(n, k, at, m))
     return list(out)
 
 
@@ -91,28 +111,35 @@ def _check_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("ckey"), b.column("known"), pa.array(edits, pa.int32())], names=["ckey", "known", "edits"])
 
 
-def prepare(raw_line: DataFrame, source_file: DataFrame) -> DataFrame:
+#: Columns of a line besides those that linking needs.
+PLACE = ("file_id", "line_no", "session", "kind", "role", "meta", "side")
+
+
+def prepare(raw_line: DataFrame, source_file: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
     """line_id, batch_no, groups (keys that equal lines share), ckey, block and
-    words of its text where that can be compared."""
+    words of its text where that can be compared; with `more` also PLACE and
+    those columns, for those who go on with the lines."""
+    more = more or {}
+    rest = [*PLACE, *more] if more else []
     derived = {
         "tools": F.when(~F.col("meta"), F.array_join(tool_ids(F.col("blocks")), "\x1f")),
         "words": F.when(~F.col("meta") & ~has_tools(F.col("blocks")), plain_words(F.col("text"))),
     }
-    lines = read_lines(raw_line, source_file, derived)
+    lines = read_lines(raw_line, source_file, derived | more)
     known = F.col("session").isNotNull() & F.col("kind").isNotNull()
     lines = lines.select(
         "line_id", "batch_no", "key", F.when(known & ~F.col("meta"), F.concat_ws("\x1e", "session", "kind")).alias("block"),
-        F.when(known & (F.col("tools") != ""), F.col("tools")).alias("tools"), F.when(known, F.col("words")).alias("words"),
+        F.when(known & (F.col("tools") != ""), F.col("tools")).alias("tools"), F.when(known, F.col("words")).alias("words"), *rest,
     )
     enough = F.size("words") >= MIN_WORDS - EDITS
     ckey = F.when(enough, F.md5(F.concat_ws("\x1d", "block", F.array_join("words", "\x1f"))))
-    lines = lines.select("line_id", "batch_no", "key", "tools", "block", F.when(enough, F.col("words")).alias("words"), ckey.alias("ckey"))
+    lines = lines.select("line_id", "batch_no", "key", "tools", "block", F.when(enough, F.col("words")).alias("words"), ckey.alias("ckey"), *rest)
     groups = F.array(
         F.concat(F.lit("u"), F.col("key")),
         F.when(F.col("tools").isNotNull(), F.concat(F.lit("t"), F.md5(F.concat_ws("\x1d", "block", "tools")))),
         F.when(F.size("words") >= MIN_WORDS, F.concat(F.lit("x"), F.col("ckey"))),
     )
-    return lines.select("line_id", "batch_no", F.array_compact(groups).alias("groups"), "ckey", "block", "words")
+    return lines.select("line_id", "batch_no", F.array_compact(groups).alias("groups"), "ckey", "block", "words", *rest)
 
 
 class Weights:
@@ -183,6 +210,7 @@ class LinkIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.calls = spark, path, 0
+        self.lines: DataFrame | None = None
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = "link_" + path.rstrip("/").rpartition("/")[0].rpartition("-")[2]
         self.weights = Weights()
@@ -276,7 +304,7 @@ class LinkIndex:
         return scored.where(F.col("score") >= self.weights.threshold - 1e-9)
 
 
-def link_batches(raw_line: DataFrame, source_file: DataFrame, call_lines: int = CALL_LINES, index: LinkIndex | None = None) -> LinkIndex:
+def link_batches(raw_line: DataFrame, source_file: DataFrame, call_lines: int = CALL_LINES, index: LinkIndex | None = None, more: dict[str, Column] | None = None) -> LinkIndex:
     """All batches of raw_line in order against what was accepted before.
 
     A line is rejected if an accepted line before it has the same identifier
@@ -285,7 +313,8 @@ def link_batches(raw_line: DataFrame, source_file: DataFrame, call_lines: int =
     least 8 words that is equal but for case, punctuation, white space and at
     most two words. first_id is the smallest such line. Lines without a
     session or a type can only repeat by identifier; a null batch comes first.
-    No lines give no links. Extra columns are ignored.
+    No lines give no links. Extra columns are ignored. With `more` the read
+    lines stay at the index, see prepare().
     """
     spark = raw_line.sparkSession
     scratch = Scratch(spark, "linkage")
@@ -297,12 +326,16 @@ def link_batches(raw_line: DataFrame, source_file: DataFrame, call_lines: int =
         calls[r["batch_no"]] = call
         n += r["n"]
     number = F.coalesce(*[F.when(F.col("batch_no").eqNullSafe(F.lit(b)), F.lit(c)) for b, c in calls.items()], F.lit(0)) if calls else F.lit(0)
-    lines = prepare(raw_line, source_file).withColumn("call", number)
-    scratch.save(lines.repartition("call", F.pmod(F.xxhash64("line_id"), F.lit(16))), "lines", ["call"])
+    lines = prepare(raw_line, source_file, more).withColumn("call", number)
+    saved = scratch.save(lines, "lines", ["call"])
     index = index or LinkIndex(spark, scratch.at("index"))
+    needed = ["line_id", "batch_no", "groups", "ckey", "block", "words"]
     for c in range(call + 1 if calls else 0):
-        index.add(spark.read.schema(lines.drop("call").schema).parquet(scratch.at(f"lines/call={c}")))
-    scratch.remove("lines")
+        index.add(spark.read.schema(lines.drop("call").schema).parquet(scratch.at(f"lines/call={c}")).select(needed))
+    if more:
+        index.lines = saved.drop(*[x for x in needed if x != "line_id"], "call")
+    else:
+        scratch.remove("lines")
     return index
 
 

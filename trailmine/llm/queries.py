@@ -25,11 +25,13 @@ def p1_patterns(spark: SparkSession, data: str) -> DataFrame:
 
 
 def _conversations(spark: SparkSession, data: str):
-    from .chats import rebuild
-    from .linkage import rejected_lines
+    from .chats import needed, rebuild
+    from .linkage import link_batches
 
     lines, files = table(spark, data, "raw_line"), table(spark, data, "source_file")
-    return rebuild(lines, files, rejected_lines(lines, files).select(F.col("dup_id").alias("line_id")))
+    index = link_batches(lines, files, more=needed())
+    index.drop()
+    return rebuild(lines, files, index.read("links").select(F.col("dup_id").alias("line_id")), lines=index.lines)
 
 
 def p3_found(spark: SparkSession, data: str) -> DataFrame:
