@@ -38,41 +38,24 @@ def segments(n: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), sizes[k]) for k in range(PARTS)]
 
 
-_PRIME = (1 << 61) - 1
-_BASE = 1_000_003_919
-
-
-class _Keys:
-    """Blocking keys of one text: rolling hashes of its word ranges."""
-
-    def __init__(self, block: str, words: list[str]):
-        self.own, self.sums = xxhash.xxh64_intdigest(block), [0]
-        for w in words:
-            self.sums.append((self.sums[-1] * _BASE + xxhash.xxh64_intdigest(w)) % _PRIME)
-
-    def at(self, n: int, k: int, start: int, size: int) -> int:
-        ranged = (self.sums[start + size] - self.sums[start] * _POWERS[size]) % _PRIME if size < len(_POWERS) else (self.sums[start + size] - self.sums[start] * pow(_BASE, size, _PRIME)) % _PRIME
-        mixed = (ranged * 3 + k) * 0x9E3779B97F4A7C15 + n * 0xC2B2AE3D27D4EB4F + self.own
-        return ((mixed ^ (mixed >> 29)) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-
-
-_POWERS = [pow(_BASE, k, _PRIME) for k in range(256)]
+def _hash(head: str, words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(head + "\x1f".join(words)) - (1 << 63)
 
 
 def index_keys(block: str, words: list[str]) -> list[int]:
-    keys = _Keys(block, words)
-    return [keys.at(len(words), k, a, m) for k, (a, m) in enumerate(segments(len(words)))]
+    return [_hash(f"{block}\x1f{len(words)}\x1f{k}\x1f", words[a : a + m]) for k, (a, m) in enumerate(segments(len(words)))]
 
 
 def probe_keys(block: str, words: list[str]) -> list[int]:
     """Keys of all segments of texts of EDITS words more or fewer that can
     match here: at each segment only the shifts that leave enough edits."""
-    keys, out = _Keys(block, words), set()
+    out = set()
     for n in range(max(MIN_WORDS, len(words) - EDITS), len(words) + EDITS + 1):
         more = len(words) - n
         for k, (a, m) in enumerate(segments(n)):
+            head = f"{block}\x1f{n}\x1f{k}\x1f"
             for at in range(max(0, a - k, a + more - (EDITS - k)), min(len(words) - m, a + k, a + more + (EDITS - k)) + 1):
-                out.add(keys.at(n, k, at, m))
+                out.add(_hash(head, words[at : at + m]))
     return list(out)
 
 
