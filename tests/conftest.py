@@ -3,14 +3,15 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
 def spark():
     from trailmine.session import local_session
 
-    return local_session(4, 4)
+    return local_session(4, 2)
 
 
 @pytest.fixture(scope="session")
