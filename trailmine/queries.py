@@ -312,15 +312,16 @@ def _cards(spark: SparkSession, data: str) -> tuple[DataFrame, rank.Ranked]:
     return tokens, rank.rank_patterns(tokens, seqs.closed_patterns(levels).patterns)
 
 
-_CARD = [joined("pattern"), "support", F.round("bits", 6).alias("bits"), F.round("score", 6).alias("score")]
+def _card() -> list:
+    return [joined("pattern"), "support", F.round("bits", 6).alias("bits"), F.round("score", 6).alias("score")]
 
 
 def rank_cards(spark: SparkSession, data: str) -> DataFrame:
-    return _cards(spark, data)[1].cards.select("bucket", *_CARD, "variants", "folded")
+    return _cards(spark, data)[1].cards.select("bucket", *_card(), "variants", "folded")
 
 
 def rank_topk(spark: SparkSession, data: str) -> DataFrame:
-    return rank.top_per_bucket(_cards(spark, data)[1].cards, 3).select("bucket", *_CARD, "place", "left_out")
+    return rank.top_per_bucket(_cards(spark, data)[1].cards, 3).select("bucket", *_card(), "place", "left_out")
 
 
 def family_merge(spark: SparkSession, data: str) -> DataFrame:
