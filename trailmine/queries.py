@@ -2,6 +2,9 @@
 
 The SQL is written for another engine over the same tables; arrays are joined
 with ' > ', floats rounded to six places on both sides.
+
+Queries named *_full have the lengths that the commands have by default; those
+of the same name without it keep to the shorter ones that their SQL spells out.
 """
 
 from __future__ import annotations
@@ -215,6 +218,15 @@ CLOSED_SQL = f"""WITH {TOKENS_SQL}, {_GRAMS}, kept AS (SELECT * FROM counted WHE
   SELECT array_to_string(gram, ' > ') AS gram, n, streams FROM kept WHERE len(list_distinct(gram)) > 1 AND NOT EXISTS (SELECT 1 FROM closers c WHERE c.gram = kept.gram AND 10 * c.n >= 8 * kept.n)"""
 
 
+def ngram_counts_full(spark: SparkSession, data: str) -> DataFrame:
+    """All grams of 2 to 5 tokens."""
+    return ngrams.count_grams(_tokens(spark, data)).select(joined("gram"), "n", "streams", F.col("exemplar.seq").alias("first_seq"))
+
+
+def ngrams_closed_full(spark: SparkSession, data: str) -> DataFrame:
+    return ngrams.frequent_grams(ngrams.count_grams(_tokens(spark, data))).select(joined("gram"), "n", "streams")
+
+
 def follows_edges(spark: SparkSession, data: str) -> DataFrame:
     return follows.edges(_tokens(spark, data))
 
@@ -242,6 +254,11 @@ def gram_model(spark: SparkSession, data: str) -> DataFrame:
 MODEL_SQL = f"""WITH {TOKENS_SQL}, {_GRAMS} SELECT array_to_string(gram, ' > ') AS gram, n FROM counted UNION ALL SELECT tok AS gram, count(*) AS n FROM tk GROUP BY tok"""
 
 
+def gram_model_full(spark: SparkSession, data: str) -> DataFrame:
+    """Order 3: all grams of 1 to 4 tokens."""
+    return ngrams.gram_model(_tokens(spark, data)).select(joined("gram"), "n")
+
+
 def surprise_scores(spark: SparkSession, data: str) -> DataFrame:
     return surprise.surprise(_tokens(spark, data), 2, 20).select("stream", "tokens", F.round("bits", 6).alias("bits"))
 
@@ -255,12 +272,24 @@ _SURPRISE = f"""{TOKENS_SQL}, total AS (SELECT count(*) AS all_ FROM tk),
 SURPRISE_SQL = f"WITH {_SURPRISE} SELECT stream, tokens, round(bits, 6) AS bits FROM scored"
 
 
-def surprise_extremes(spark: SparkSession, data: str) -> DataFrame:
-    routine, odd = surprise.extremes(surprise.surprise(_tokens(spark, data), 2, 20), 20)
+def surprise_scores_full(spark: SparkSession, data: str) -> DataFrame:
+    return surprise.surprise(_tokens(spark, data)).select("stream", "tokens", F.round("bits", 6).alias("bits"))
+
+
+def _extremes(scored: DataFrame) -> DataFrame:
+    routine, odd = surprise.extremes(scored, 20)
     rows = routine.withColumn("end", F.lit("routine")).unionByName(odd.withColumn("end", F.lit("surprising")))
     return rows.select("end", "stream", "tokens", F.round("bits", 6).alias("bits"))
 
 
+def surprise_extremes(spark: SparkSession, data: str) -> DataFrame:
+    return _extremes(surprise.surprise(_tokens(spark, data), 2, 20))
+
+
+def surprise_extremes_full(spark: SparkSession, data: str) -> DataFrame:
+    return _extremes(surprise.surprise(_tokens(spark, data)))
+
+
 EXTREMES_SQL = f"""WITH {_SURPRISE} SELECT * FROM (SELECT 'routine' AS "end", stream, tokens, round(bits, 6) AS bits FROM scored ORDER BY scored.bits, stream LIMIT 10) UNION ALL
   SELECT * FROM (SELECT 'surprising' AS "end", stream, tokens, round(bits, 6) AS bits FROM scored ORDER BY scored.bits DESC, stream DESC LIMIT 10)"""
 
@@ -269,8 +298,10 @@ EXTREMES_SQL = f"""WITH {_SURPRISE} SELECT * FROM (SELECT 'routine' AS "end", st
 
 
 def _levels(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame]:
+    """Patterns of up to 5 tokens. The SQL beside these queries ends at 3, so
+    that it says the same only where no pattern of 4 is frequent."""
     tokens = _tokens(spark, data)
-    return tokens, seqs.pattern_levels(tokens, _support(tokens), 3, 3)
+    return tokens, seqs.pattern_levels(tokens, _support(tokens))
 
 
 def seqs_support(spark: SparkSession, data: str) -> DataFrame:
@@ -358,7 +389,7 @@ def shell_split(spark: SparkSession, data: str) -> DataFrame:
 
 _PLAIN = [
     p2_found, p2_table, ingest_events, pairing, pairing_tools, retry, dedup, mark_fail, collapse, no_sidechain, tokens_session, vocab, top_actions, summary_hot_sessions, ngram_counts, ngrams_closed, follows_edges,
-    bounce_cycles, edges_sessions, gram_model, surprise_scores, surprise_extremes, seqs_support, seqs_closed, fold, rank_cards, rank_topk, family_merge, findings_measure, report, shell_split,
+    bounce_cycles, edges_sessions, gram_model, surprise_scores, surprise_extremes, ngram_counts_full, ngrams_closed_full, gram_model_full, surprise_scores_full, surprise_extremes_full, seqs_support, seqs_closed, fold, rank_cards, rank_topk, family_merge, findings_measure, report, shell_split,
 ]
 
 
