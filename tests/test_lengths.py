@@ -86,6 +86,13 @@ def test_sequences_cards_and_findings(spark, habits):
     assert found == {p: n for p in cards if (n := walked(lists, p)[0])} and max(map(len, found)) == 5
 
 
+def test_all_mined_patterns_are_measured(spark, habits):
+    folder, lists = habits
+    got = {tuple(r["pattern"].split(" > ")): (r["n"], r["streams"]) for r in rows_of(spark, folder, "findings_measure_full")}
+    want = {p: x for p in brute(list(lists.values()), 2, 3, 5) if (x := walked(lists, p))[0]}
+    assert got == want and {len(p) for p in got} == {1, 2, 3, 4, 5}
+
+
 def walked(lists, motif, gap=3):
     """(occurrences, streams) of a motif, taken from left to right."""
     n = inside = 0

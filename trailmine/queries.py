@@ -372,6 +372,12 @@ MEASURE_SQL = f"""WITH RECURSIVE {_SEQS}, starts AS (SELECT x.stream, l.pattern,
   SELECT array_to_string(w.pattern, ' > ') AS pattern, count(*) AS n, count(DISTINCT w.stream) AS streams, CAST(sum(f.bytes) AS BIGINT) AS bytes FROM walk w JOIN found f ON f.stream = w.stream AND f.pattern = w.pattern AND f.st = w.st GROUP BY 1"""
 
 
+def findings_measure_full(spark: SparkSession, data: str) -> DataFrame:
+    """Costs of all mined patterns; findings_measure has those of two tokens, as its SQL."""
+    tokens, levels = _levels(spark, data)
+    return findings.measure(tokens, levels).select(joined("pattern"), "n", "streams", "bytes")
+
+
 def report(spark: SparkSession, data: str) -> DataFrame:
     tokens, ranked = _cards(spark, data)
     rows = findings.findings(tokens, ranked.cards)
@@ -389,7 +395,7 @@ def shell_split(spark: SparkSession, data: str) -> DataFrame:
 
 _PLAIN = [
     p2_found, p2_table, ingest_events, pairing, pairing_tools, retry, dedup, mark_fail, collapse, no_sidechain, tokens_session, vocab, top_actions, summary_hot_sessions, ngram_counts, ngrams_closed, follows_edges,
-    bounce_cycles, edges_sessions, gram_model, surprise_scores, surprise_extremes, ngram_counts_full, ngrams_closed_full, gram_model_full, surprise_scores_full, surprise_extremes_full, seqs_support, seqs_closed, fold, rank_cards, rank_topk, family_merge, findings_measure, report, shell_split,
+    bounce_cycles, edges_sessions, gram_model, surprise_scores, surprise_extremes, ngram_counts_full, ngrams_closed_full, gram_model_full, surprise_scores_full, surprise_extremes_full, seqs_support, seqs_closed, fold, rank_cards, rank_topk, family_merge, findings_measure, findings_measure_full, report, shell_split,
 ]
 
 
