@@ -85,3 +85,14 @@ def test_changes_and_table_of_a_series(spark):
     assert empty.collect() == [] and empty.columns == ["file_id", "change", "old_field", "new_field"]
     assert consistent_table(line_df.limit(0), file_df.limit(0)).count() == 0
     assert {t.column for t in TARGET} <= set(table.columns)
+
+
+def test_renamed_approved_fields_and_parents(spark):
+    files = [(k, 1, k, None, None, None, None) for k in (1, 2, 3)]
+    line = lambda k, branch, parent: json.dumps({"type": "user", branch: f"topic/{k:04d}-x", parent: {"role": ("user", "assistant")[k % 2], "content": f"text {k}", "model": f"model-{k % 3}"}})
+    lines = [(f, k, line(k, branch, parent), None, None) for f, branch, parent in ((1, "gitBranch", "message"), (2, "branch", "message"), (3, "branch", "msg")) for k in range(20)]
+    line_df, file_df = spark.createDataFrame(lines, LOG_LINE), spark.createDataFrame(files, LOG_FILE)
+    assert sorted(tuple(r) for r in schema_changes(line_df, file_df).collect()) == [(2, "renamed", "gitBranch", "branch"), (3, "renamed", "message", "msg")]
+    got = consistent_table(line_df, file_df).select("file_id", "line_no", "git_branch", "role", "content", "model", "rescued").collect()
+    want = [(f, k, f"topic/{k:04d}-x", ("user", "assistant")[k % 2], json.dumps(f"text {k}"), f"model-{k % 3}", None) for f in (1, 2, 3) for k in range(20)]
+    assert sorted(map(tuple, got)) == want

@@ -429,9 +429,9 @@ def _promote_rows(names: list[str], targets: tuple[Target, ...]):
         for b in batches:
             out: dict[str, list] = {t.column: [] for t in targets}
             rescued = []
-            for ok, text in zip(b.column("readable").to_pylist(), b.column("rescued").to_pylist()):
+            for ok, text, moved in zip(b.column("readable").to_pylist(), b.column("rescued").to_pylist(), b.column("names").to_pylist()):
                 row = json.loads(text) if ok and text else {}
-                typed = _fill(row, targets, {})
+                typed = _fill(row, targets, dict(moved or ()))
                 rescued.append(text if not ok else json.dumps(row, ensure_ascii=False) if row else None)
                 for t in targets:
                     out[t.column].append(typed.get(t.column))
@@ -441,19 +441,30 @@ def _promote_rows(names: list[str], targets: tuple[Target, ...]):
     return run
 
 
-def promote(table: DataFrame, approved: tuple[Target, ...] = APPROVED) -> DataFrame:
+def promote(table: DataFrame, approved: tuple[Target, ...] = APPROVED, renames: DataFrame | None = None) -> DataFrame:
     """Columns for approved fields, filled by replaying the rescued values;
-    what doesn't cast stays rescued."""
+    what doesn't cast stays rescued. renames as in ingest()."""
     names = [c for c in table.columns if c != "rescued"]
     if clash := {t.column for t in approved} & set(names):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     types = ", ".join(f"{c} {table.schema[c].dataType.simpleString()}" for c in names)
+    table = table.join(renames, "file_id", "left") if renames is not None else table.withColumn("names", F.lit(None).cast("map<string,string>"))
     return table.mapInArrow(_promote_rows(names, approved), f"{types}, {_columns(approved)}, rescued string")
 
 
+def renamed_path(path: str, moved: dict[str, str]) -> str:
+    """The path with its longest renamed prefix replaced."""
+    parts = path.split(".")
+    for k in range(len(parts), 0, -1):
+        if (to := moved.get(".".join(parts[:k]))) is not None:
+            return ".".join([to, *parts[k:]])
+    return path
+
+
 def file_names(changes: DataFrame, log_file: DataFrame, targets: tuple[Target, ...] = TARGET + APPROVED) -> DataFrame:
     """file_id, names: for each file the name that a target's path has there,
-    following the renames from the first file of its series on."""
+    following the renames of it and of what it lies in from the first file of
+    its series on."""
     renamed = changes.where("change = 'renamed'").select("file_id", "old_field", "new_field")
     files = log_file.where("file_id is not null and series_id is not null").select("file_id", "series_id", "ordinal")
     steps = files.join(renamed.groupBy("file_id").agg(F.collect_list(F.struct("old_field", "new_field")).alias("renames")), "file_id", "left")
@@ -469,7 +480,7 @@ def file_names(changes: DataFrame, log_file: DataFrame, targets: tuple[Target, .
                 now = {p: p for p in paths}
                 for f in files_:
                     moved = {r["old_field"]: r["new_field"] for r in f["renames"]}
-                    now = {p: moved.get(n, n) for p, n in now.items()}
+                    now = {p: renamed_path(n, moved) for p, n in now.items()}
                     if any(p != n for p, n in now.items()):
                         out.append({"file_id": f["file_id"], "names": [(p, n) for p, n in now.items() if p != n]})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
@@ -483,7 +494,7 @@ def consistent_table(log_line: DataFrame, log_file: DataFrame) -> DataFrame:
     scratch = Scratch(log_line.sparkSession, "drift")
     names = scratch.save(file_names(schema_changes(log_line, log_file), log_file), "names")
     names = names.groupBy("file_id").agg(F.first("names").alias("names"))
-    return promote(ingest(log_line, names))
+    return promote(ingest(log_line, names), renames=names)
 
 
 __all__ = ["APPROVED", "TARGET", "Target", "compare", "consistent_table", "file_names", "ingest", "profiles", "promote", "schema_changes"]
