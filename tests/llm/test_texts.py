@@ -144,3 +144,12 @@ def test_residue_of_tables(spark):
     assert sorted(map(tuple, residue(docs).collect())) == [(1, "notice"), (1, "notice")]
     assert sorted(r["doc_id"] for r in clean(docs).collect()) == [2, 3] and clean(docs).columns == docs.columns
     assert residue(docs.limit(0)).collect() == []
+
+
+LATIN = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Ut enim ad minim veniam, quis nostrud exercitation. Duis aute irure dolor in reprehenderit.\nExcepteur sint occaecat cupidatat non proident."
+
+
+def test_filler_of_several_sentences():
+    assert judge(f"One real sentence stands here. {LATIN}") == judge(f"One real sentence stands here.\n\n{LATIN}\n\nSed do eiusmod tempor. Nulla facilisi.") == "filler"
+    assert judge(f"{REAL} {REAL} {LATIN}") is None
+    assert judge("We looked at the page. Lorem ipsum was still on it. We took it out and told the team. It is in order now.") is None

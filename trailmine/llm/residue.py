@@ -193,9 +193,22 @@ def repeated(words: list[str]) -> bool:
     return len(words) >= 8 and len(set(words)) <= min(6, max(1, len(words) // 6))
 
 
+#: Words of the usual filler, by which its further sentences are known.
+LATIN = frozenset(
+    """a ac accumsan ad adipiscing adipisicing aenean aliqua aliquam aliquet aliquip amet anim ante aptent arcu at auctor augue aute bibendum blandit cillum class commodo condimentum congue consectetur consectetuer consequat conubia convallis cras cubilia culpa cum cupidatat curabitur curae cursus dapibus deserunt diam dictum dictumst dignissim dis do dolor dolore donec dui duis ea egestas eget eiusmod eleifend elementum elit enim erat eros esse est et etiam eu euismod ex excepteur exercitation facilisi facilisis fames faucibus felis fermentum feugiat fringilla fugiat fusce gravida habitant habitasse hac hendrerit iaculis id imperdiet in incididunt inceptos integer interdum ipsum irure justo labore laboris laborum lacinia lacus laoreet lectus leo libero ligula litora lobortis lorem luctus maecenas magna magnis malesuada massa mattis mauris metus mi minim molestie mollis mollit montes morbi mus nam nascetur natoque nec neque netus nibh nisi nisl non nostra nostrud nulla nullam nunc occaecat odio officia orci ornare parturient pariatur pellentesque penatibus per pharetra phasellus placerat platea porta porttitor posuere potenti praesent pretium primis proident proin pulvinar purus qui quam quis quisque reprehenderit rhoncus ridiculus risus rutrum sagittis sapien scelerisque sed sem semper senectus sint sit sociis sociosqu sodales sollicitudin sunt suscipit suspendisse taciti tellus tempor tempus tincidunt torquent tortor tristique turpis ullamco ullamcorper ultrices ultricies urna ut varius vehicula vel velit veniam venenatis vestibulum vitae vivamus viverra volutpat voluptate vulputate""".split()
+)
+
+
+def latin(sentence: str) -> bool:
+    """Are at least half of its words those of the usual filler?"""
+    words = re.findall(r"[^\W\d_]+", sentence.lower())
+    return bool(words) and 2 * sum(w in LATIN for w in words) >= len(words)
+
+
 def shares(text: str, most_real: int = 1 << 30) -> tuple[int, int, int]:
     """(sentences of filler, of error pages and notices, real ones). Counting
-    ends where there are more than most_real real ones, which settles the text."""
+    ends where there are more than most_real real ones, which settles the text.
+    Latin sentences are filler from the first one of filler on."""
     filler = notice = real = 0
     flat = BLOCK_TAG.sub("\n", text)
     flat = TAG.sub("", flat)
@@ -217,7 +230,7 @@ def shares(text: str, most_real: int = 1 << 30) -> tuple[int, int, int]:
             bare = OUTER.sub("", part or "")
             if not bare:
                 continue
-            if any(f.match(bare) for f in FILLER):
+            if any(f.match(bare) for f in FILLER) or (filler and latin(bare)):
                 filler += 1
             elif FURNITURE.match(bare):
                 continue
