@@ -105,3 +105,11 @@ def walked(lists, motif, gap=3):
             hits, k = (hits, k + 1) if at is None else (hits + 1, at + 1)
         n, inside = n + hits, inside + (hits > 0)
     return n, inside
+
+
+def test_all_tokens_of_the_largest_session(spark, tmp_path):
+    rows = [(n, 0 if n < 500 else 1, "click", 1.0, json.dumps({"k": 3 + n % 2})) for n in range(520)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    df.selectExpr("*", "timestamp_seconds(event_id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r["stream"], r["pos"], r["seq"]) for r in rows_of(spark, str(tmp_path), "tokens_session_full")]
+    assert got == [("p0/user-0@", n, n) for n in range(500)]

@@ -154,6 +154,13 @@ def tokens_session(spark: SparkSession, data: str) -> DataFrame:
     return streams.session_tokens(_tokens(spark, data), "user-7@", 200).select("stream", "pos", "tok", "seq", "bytes")
 
 
+def tokens_session_full(spark: SparkSession, data: str) -> DataFrame:
+    """All tokens of the session that has most; tokens_session has 200 of one session, as its SQL."""
+    tokens = _tokens(spark, data).withColumn("session", F.regexp_replace("stream", "@[^@]*$", ""))
+    largest = tokens.groupBy("session").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "session").limit(1)
+    return tokens.join(largest.select("session"), "session", "left_semi").orderBy("stream", "pos").select("stream", "pos", "tok", "seq", "bytes")
+
+
 def vocab(spark: SparkSession, data: str) -> DataFrame:
     return streams.vocabulary(_tokens(spark, data))
 
@@ -394,7 +401,7 @@ def shell_split(spark: SparkSession, data: str) -> DataFrame:
 
 
 _PLAIN = [
-    p2_found, p2_table, ingest_events, pairing, pairing_tools, retry, dedup, mark_fail, collapse, no_sidechain, tokens_session, vocab, top_actions, summary_hot_sessions, ngram_counts, ngrams_closed, follows_edges,
+    p2_found, p2_table, ingest_events, pairing, pairing_tools, retry, dedup, mark_fail, collapse, no_sidechain, tokens_session, tokens_session_full, vocab, top_actions, summary_hot_sessions, ngram_counts, ngrams_closed, follows_edges,
     bounce_cycles, edges_sessions, gram_model, surprise_scores, surprise_extremes, ngram_counts_full, ngrams_closed_full, gram_model_full, surprise_scores_full, surprise_extremes_full, seqs_support, seqs_closed, fold, rank_cards, rank_topk, family_merge, findings_measure, findings_measure_full, report, shell_split,
 ]
 
