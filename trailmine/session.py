@@ -80,13 +80,39 @@ class Scratch:
         writer.parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at(name) if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def remove(self, name: str = "") -> None:
-        target = self.at(name) if name else self.path
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path, fs = self._fs(name)
         fs.delete(path, True)
 
+    def make(self, name: str) -> None:
+        path, fs = self._fs(name)
+        fs.mkdirs(path)
+
+    def rename(self, name: str, to: str) -> None:
+        path, fs = self._fs(name)
+        if not fs.rename(path, self._fs(to)[0]):
+            raise OSError(f"{self.at(name)} can't be renamed to {self.at(to)}")
+
+    def write_text(self, name: str, text: str) -> None:
+        path, fs = self._fs(name)
+        out = fs.create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def read_text(self, name: str) -> str | None:
+        path, fs = self._fs(name)
+        if not fs.exists(path):
+            return None
+        source = fs.open(path)
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
+
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
