@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .canon import session_form, strip, uuid_form
+from .canon import strip, uuid_form
 
 BLOCKS = "array<struct<type:string,text:string,id:string,tool_use_id:string>>"
 
@@ -39,9 +39,14 @@ def read_lines(raw_line: DataFrame, source_file: DataFrame, derived: dict[str, C
     )
     lines = lines.withColumn("text", F.coalesce("single", joined, F.lit("")))
     lines = lines.select("line_id", "batch_no", "file_id", "line_no", "sessionid", "kind", "role", "meta", "side", "key", *[c.alias(n) for n, c in derived.items()])
+    rest = ["line_id", "batch_no", "file_id", "line_no", "kind", "role", "meta", "side", "key", *derived]
+    blank = F.lit("")
+    named = lines.withColumn("session", F.nullif(F.lower(strip(F.col("sessionid"))), blank))
     files = source_file.select("file_id", F.col("session").alias("_session")).groupBy("file_id").agg(F.min("_session").alias("_session"))
-    session = session_form(F.col("sessionid"), F.col("_session")).alias("session")
-    return lines.join(files, "file_id", "left").select("line_id", "batch_no", "file_id", "line_no", session, "kind", "role", "meta", "side", "key", *derived)
+    # Only the few lines that name no session meet their files.
+    other = named.where("session is null").drop("session").join(files, "file_id", "left").withColumn("session", F.nullif(F.lower(strip(F.col("_session"))), blank))
+    order = ["line_id", "batch_no", "file_id", "line_no", "session", *rest[4:]]
+    return named.where("session is not null").select(order).unionByName(other.select(order))
 
 
 def tool_ids(blocks: Column) -> Column:
@@ -55,7 +60,7 @@ def has_tools(blocks: Column) -> Column:
     return F.exists(blocks, lambda b: F.coalesce(b["type"].isin("tool_use", "tool_result"), F.lit(False)))
 
 
-def plain_words(text: Column) -> Column:
-    """Words parted by white space, in lower case without punctuation."""
+def plain_text(text: Column) -> Column:
+    """The words, parted by white space, in lower case without punctuation, joined by blanks."""
     bare = F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{M}\p{N}\s]+", "")
-    return F.array_remove(F.split(bare, r"(?U)\s+"), "")
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))

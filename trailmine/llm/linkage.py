@@ -1,62 +1,63 @@
 """Problem 4: new batches against all accepted lines.
 
-Method: incremental record linkage. A batch probes persisted tables of
-blocking keys (identifier, tool blocks, text, text segments), candidate pairs
-are scored field by field with learned weights and then checked exactly, and
-only the clusters that the batch touches are updated: a representative
-mapping leads from a rejected line to the accepted one.
+Method: incremental record linkage. The blocking-key tables of accepted lines
+are keyed state on disk (a streaming aggregation over RocksDB with checkpoints):
+a batch looks up its own keys there and nothing else, so that what it reads
+follows the batch and not the history. Candidate pairs of texts are scored
+field by field with learned weights; those that reach the threshold are checked
+exactly. A representative mapping (links) leads from a rejected line to the
+accepted one; only the clusters that a batch touches are changed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .lines import has_tools, plain_words, read_lines, tool_ids
+from .lines import has_tools, plain_text, read_lines, tool_ids
+from .seen import STATE_CONF
 
 MIN_WORDS = 8
 EDITS = 2
-#: Batches in a row are linked in one call until it has so many lines; the
-#: order within a call is that of the lines, so results don't depend on it.
-CALL_LINES = 60_000
-PARTS = EDITS + 1
+#: A substitution touches two classes of words, so EDITS of them leave one.
+CLASSES = 2 * EDITS + 1
+#: A call of so many lines is read as one partition, in which its joins and groups need no shuffle.
+ROWS = 100_000
+#: A block (session and type) of more texts than that is split by word classes;
+#: both ways compare the same pairs.
+GROUP = 200
 
 
-@lru_cache(maxsize=4096)
-def segments(n: int) -> list[tuple[int, int]]:
-    """Start and size of EDITS + 1 even segments of n words: two texts within
-    EDITS word edits agree in one of them."""
-    size, more = divmod(n, PARTS)
-    sizes = [size + (k >= PARTS - more) for k in range(PARTS)]
-    return [(sum(sizes[:k]), sizes[k]) for k in range(PARTS)]
+def word_class(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) % CLASSES
 
 
-def _hash(head: str, words: list[str]) -> int:
-    return xxhash.xxh64_intdigest(head + "\x1f".join(words)) - (1 << 63)
+@lru_cache(maxsize=1 << 14)
+def class_of(word: str) -> int:
+    return word_class(word)
 
 
-def index_keys(block: str, words: list[str]) -> list[int]:
-    return [_hash(f"{block}\x1f{len(words)}\x1f{k}\x1f", words[a : a + m]) for k, (a, m) in enumerate(segments(len(words)))]
+def parts_of(words: list[str]) -> tuple[str, ...]:
+    """The words of each class in their order. Texts within EDITS word edits
+    have at least one part in common."""
+    parts: list[list[str]] = [[] for _ in range(CLASSES)]
+    for w in words:
+        parts[class_of(w)].append(w)
+    return tuple(" ".join(p) for p in parts)
 
 
-def probe_keys(block: str, words: list[str]) -> list[int]:
-    """Keys of all segments of texts of EDITS words more or fewer that can
-    match here: at each segment only the shifts that leave enough edits."""
-    out = set()
-    for n in range(max(MIN_WORDS, len(words) - EDITS), len(words) + EDITS + 1):
-        more = len(words) - n
-        for k, (a, m) in enumerate(segments(n)):
-            head = f"{block}\x1f{n}\x1f{k}\x1f"
-            for at in range(max(0, a - k, a + more - (EDITS - k)), min(len(words) - m, a + k, a + more + (EDITS - k)) + 1):
-                out.add(_hash(head, words[at : at + m]))
-    return list(out)
+def part_keys(block: str, words: list[str]) -> list[str]:
+    return [f"c{xxhash.xxh128_hexdigest(f'{block} {k} {p}')}" for k, p in enumerate(parts_of(words))]
 
 
 def within_edits(x: list[str], y: list[str], most: int = EDITS) -> int:
@@ -76,255 +77,463 @@ def within_edits(x: list[str], y: list[str], most: int = EDITS) -> int:
     return min(most + 1, 1 + min(within_edits(x[1:], y[1:], most - 1), within_edits(x[1:], y, most - 1), within_edits(x, y[1:], most - 1)))
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        own, keys, probe = [], [], []
-        for tid, block, words in zip(*(b.column(x).to_pylist() for x in ("tid", "block", "words"))):
-            found = index_keys(block, words) if len(words) >= MIN_WORDS else []
-            asked = probe_keys(block, words)
-            own += [tid] * (len(found) + len(asked))
-            keys += found + asked
-            probe += [False] * len(found) + [True] * len(asked)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(keys, pa.int64()), pa.array(probe, pa.bool_())], names=["tid", "skey", "probe"])
+# ---- weights ---------------------------------------------------------------------------
 
+#: Levels of the compared fields: difference in words (0, 1, 2, more), word classes in
+#: common (0 to CLASSES), same two first words.
+LEVELS = (EDITS + 2, CLASSES + 1, 2)
+PATTERNS = list(product(*(range(k) for k in LEVELS)))
+PLACES = {p: k for k, p in enumerate(PATTERNS)}
+
+
+def possible(pattern: tuple[int, ...]) -> bool:
+    """Can a pair with this pattern be within EDITS edits? A word more or less
+    touches one class, a changed word two."""
+    more, common = pattern[:2]
+    return more <= EDITS and CLASSES - common <= more + 2 * (EDITS - more)
+
+
+def pattern_of(x: list[str], y: list[str], a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    common = sum(p == q for p, q in zip(a, b))
+    return PLACES[min(abs(len(x) - len(y)), EDITS + 1), common, int(x[:2] == y[:2])]
+
+
+class Weights:
+    """Fellegi-Sunter weights of the compared fields, learned by expectation
+    maximization from how often each pattern occurred among the candidate
+    pairs of all batches so far. A pair goes to the exact check if its score is
+    at least the lowest score of any pattern that can be a link, so that the
+    weights spare checks and lose no link."""
+
+    def __init__(self, seen: list[int] | None = None) -> None:
+        self.seen = np.array(seen or [0] * len(PATTERNS), float)
+        self.learn([0] * len(PATTERNS))
+
+    def learn(self, counts: list[int], rounds: int = 30) -> None:
+        self.seen += np.array(counts, float)
+        # Before anything is seen every pattern counts once, and the possible ones as likely links.
+        n = self.seen + 1 / len(PATTERNS)
+        levels = np.array(PATTERNS)
+        can = np.array([possible(p) for p in PATTERNS])
+        share = np.where(can, 0.9, 0.0)
+        for _ in range(rounds):
+            prior = np.clip(share @ n / n.sum(), 1e-6, 1 - 1e-6)
+            m = [np.array([(share * n)[levels[:, f] == v].sum() + 0.01 for v in range(k)]) for f, k in enumerate(LEVELS)]
+            u = [np.array([((1 - share) * n)[levels[:, f] == v].sum() + 0.01 for v in range(k)]) for f, k in enumerate(LEVELS)]
+            self.weights = [np.log2((a / a.sum()) / (b / b.sum())) for a, b in zip(m, u)]
+            self.scores = sum(w[levels[:, f]] for f, w in enumerate(self.weights))
+            share = np.where(can, 1 / (1 + np.exp2(-np.clip(np.log2(prior / (1 - prior)) + self.scores, -60, 60))), 0.0)
+        self.threshold = float(self.scores[can].min())
+
+    @property
+    def passing(self) -> frozenset[int]:
+        return frozenset(int(k) for k in np.flatnonzero(self.scores >= self.threshold))
 
-def _check_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        edits = [within_edits(x, y) for x, y in zip(b.column("words").to_pylist(), b.column("known_words").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("ckey"), b.column("known"), pa.array(edits, pa.int32())], names=["ckey", "known", "edits"])
 
+# ---- lines -----------------------------------------------------------------------------
 
 #: Columns of a line besides those that linking needs.
 PLACE = ("file_id", "line_no", "session", "kind", "role", "meta", "side")
+KEYS = "line_id long, u string, t string, block string, ckey string, text string"
 
 
 def prepare(raw_line: DataFrame, source_file: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
-    """line_id, batch_no, groups (keys that equal lines share), ckey, block and
-    words of its text where that can be compared; with `more` also PLACE and
-    those columns, for those who go on with the lines."""
+    """line_id, batch_no and what a line is compared by: u (identifier), t (tool
+    blocks in their session and type), block (session and type), text (its words)
+    and ckey (block and text), the last three only where there are enough words;
+    with `more` also PLACE and those columns, for those who go on with the lines."""
     more = more or {}
     rest = [*PLACE, *more] if more else []
     derived = {
         "tools": F.when(~F.col("meta"), F.array_join(tool_ids(F.col("blocks")), "\x1f")),
-        "words": F.when(~F.col("meta") & ~has_tools(F.col("blocks")), plain_words(F.col("text"))),
+        "plain": F.when(~F.col("meta") & ~has_tools(F.col("blocks")), plain_text(F.col("text"))),
     }
     lines = read_lines(raw_line, source_file, derived | more)
     known = F.col("session").isNotNull() & F.col("kind").isNotNull()
-    lines = lines.select(
-        "line_id", "batch_no", "key", F.when(known & ~F.col("meta"), F.concat_ws("\x1e", "session", "kind")).alias("block"),
-        F.when(known & (F.col("tools") != ""), F.col("tools")).alias("tools"), F.when(known, F.col("words")).alias("words"), *rest,
+    block = F.md5(F.concat_ws("\x1e", "session", "kind"))
+    enough = known & (F.size(F.split("plain", " ")) >= MIN_WORDS - EDITS)
+    return lines.select(
+        "line_id", "batch_no", F.concat(F.lit("u"), "key").alias("u"),
+        F.when(known & (F.col("tools") != ""), F.concat(F.lit("t"), F.md5(F.concat_ws("\x1d", block, "tools")))).alias("t"),
+        F.when(enough, F.concat(F.lit("b"), block)).alias("block"), F.when(enough, F.concat(F.lit("x"), F.md5(F.concat_ws("\x1d", block, "plain")))).alias("ckey"),
+        F.when(enough, F.col("plain")).alias("text"), *rest,
     )
-    enough = F.size("words") >= MIN_WORDS - EDITS
-    ckey = F.when(enough, F.md5(F.concat_ws("\x1d", "block", F.array_join("words", "\x1f"))))
-    lines = lines.select("line_id", "batch_no", "key", "tools", "block", F.when(enough, F.col("words")).alias("words"), ckey.alias("ckey"), *rest)
-    groups = F.array(
-        F.concat(F.lit("u"), F.col("key")),
-        F.when(F.col("tools").isNotNull(), F.concat(F.lit("t"), F.md5(F.concat_ws("\x1d", "block", "tools")))),
-        F.when(F.size("words") >= MIN_WORDS, F.concat(F.lit("x"), F.col("ckey"))),
-    )
-    return lines.select("line_id", "batch_no", F.array_compact(groups).alias("groups"), "ckey", "block", "words", *rest)
 
 
-class Weights:
-    """Fellegi-Sunter weights of agreement patterns (identifier, tool blocks,
-    text), learned by expectation maximization from how often each pattern
-    occurs among all candidate pairs so far; there are 2 * 2 * 3 patterns."""
-
-    LEVELS = (2, 2, 3)
-
-    def __init__(self) -> None:
-        self.seen: dict[tuple[int, ...], int] = {}
-
-    @staticmethod
-    def fits(pattern: tuple[int, ...]) -> bool:
-        """The rule: same identifier, or same tool blocks, or near text."""
-        return any(pattern)
-
-    def learn(self, counts: dict[tuple[int, ...], int], rounds: int = 50) -> None:
-        for k, n in counts.items():
-            self.seen[k] = self.seen.get(k, 0) + n
-        patterns = np.array(list(self.seen), int).reshape(-1, 3)
-        n = np.array(list(self.seen.values()), float)
-        share = np.where([self.fits(tuple(p)) for p in patterns], 0.95, 0.05)
-        for _ in range(rounds):
-            prior = np.clip((share @ n) / max(n.sum(), 1), 1e-6, 1 - 1e-6)
-            m = [np.array([(share * n)[patterns[:, f] == v].sum() + 0.5 for v in range(k)]) for f, k in enumerate(self.LEVELS)]
-            u = [np.array([((1 - share) * n)[patterns[:, f] == v].sum() + 0.5 for v in range(k)]) for f, k in enumerate(self.LEVELS)]
-            self.weights = [np.log2((a / a.sum()) / (b / b.sum())) for a, b in zip(m, u)]
-            odds = np.log2(prior / (1 - prior)) + sum(w[patterns[:, f]] for f, w in enumerate(self.weights))
-            share = 1 / (1 + np.exp2(-np.clip(odds, -60, 60)))
-        every = [(a, b, c) for a in range(2) for b in range(2) for c in range(3)]
-        # Pairs from the lowest weight on that the rule can have go to the exact check.
-        self.threshold = min(self.score(p) for p in every if self.fits(p))
+#: Stands for the line of a text all of whose lines are rejected already: it leads no other.
+LAST = (1 << 63) - 1
+
+# ---- texts of a group --------------------------------------------------------------------
+
+PAIRS = "block string, ckey string, low long, old boolean, pattern int, n long"
+_PAIRS = pa.schema([("block", pa.string()), ("ckey", pa.string()), ("low", pa.int64()), ("old", pa.bool_()), ("pattern", pa.int32()), ("n", pa.int64())])
+
+
+def _leaders(passing: frozenset[int]):
+    """For groups of texts sorted by (group, line): each text is held against
+    the leaders before it, which are texts near none before them, and accepted
+    ones of earlier batches. A row for each text that is near one, with the
+    smallest such leader, and a row for each pattern with its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: str | None = None
+        leaders: list[tuple] = []
+        for b in batches:
+            found: list[tuple] = []
+            counts: dict[int, int] = {}
+            for g, block, line, ckey, text, old in zip(*(b.column(c).to_pylist() for c in ("gkey", "block", "line", "ckey", "text", "old"))):
+                if g != group:
+                    group, leaders = g, []
+                words = text.split(" ")
+                parts = parts_of(words)
+                near = None
+                if not old:
+                    for at, known, known_parts, of_old in leaders:
+                        if line == LAST and not of_old:
+                            break
+                        k = pattern_of(words, known, parts, known_parts)
+                        counts[k] = counts.get(k, 0) + 1
+                        if k in passing and within_edits(words, known) <= EDITS:
+                            near = at, of_old
+                            break
+                if near:
+                    found.append((block, ckey, near[0], near[1], None, None))
+                elif len(words) >= MIN_WORDS and line != LAST:
+                    leaders.append((line, words, parts, old))
+            found += [(None, None, None, None, k, n) for k, n in counts.items()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), _PAIRS)], schema=_PAIRS)
+
+    return run
+
+
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = pa.array([part_keys(g, t.split(" ")) for g, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist())], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "parts"])
 
-    def score(self, pattern: tuple[int, ...]) -> float:
-        return float(sum(w[v] for w, v in zip(self.weights, pattern)))
 
+def by_parts(texts: DataFrame) -> DataFrame:
+    """Texts once for each of their word classes, with its key as gkey."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
+    return texts.mapInArrow(_part_rows, f"{schema}, parts array<string>").withColumn("gkey", F.explode("parts")).drop("parts")
 
-#: What a key of a line stands for, by its first letter, and whether the line is in the group or only near it.
-EVIDENCE = {"u": "gkey like 'u%'", "t": "gkey like 't%'", "x": "gkey like 'x%' and member", "n": "not member"}
 
+def _members(lines: DataFrame) -> DataFrame:
+    """line_id, gkey for all groups of lines that repeat each other."""
+    long_ = F.size(F.split("text", " ")) >= MIN_WORDS
+    return lines.select("line_id", F.explode(F.array_compact(F.array("u", "t", F.when(long_, F.col("ckey"))))).alias("gkey"))
 
-def _firsts(rows: DataFrame, column: str) -> DataFrame:
-    """line_id, first_id: the smallest line that a line is held against, and
-    u, t, x: in what the two agree."""
-    low = rows.groupBy("line_id").agg(*[F.min(F.when(F.expr(where), F.col(column))).alias(k) for k, where in EVIDENCE.items()])
-    first = F.least(*EVIDENCE)
-    same = lambda k: F.coalesce(F.col(k) == first, F.lit(False))
-    return low.select("line_id", first.alias("first_id"), same("u").cast("int").alias("u"), same("t").cast("int").alias("t"), F.when(same("x"), 2).when(same("n"), 1).otherwise(0).alias("x"))
 
+def observed(seen: Observation) -> dict:
+    """What was observed; nothing where the plan turned out to have no rows at all."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
 
-class LinkIndex:
-    """Accepted lines as persisted tables under `path`: groups (key, first
-    accepted line), texts (distinct texts), segments (blocking key, text) and
-    links (rejected line, accepted line, score).
 
-    The first three are bucketed by their key, so that a batch's keys come to
-    the tables and the tables themselves are never shuffled again.
-    """
+# ---- index -------------------------------------------------------------------------------
+
+ENTRY = "struct<line:long,text:string>"
+LINK = "first_id long, dup_id long"
+ARRIVING = f"{KEYS}, gkey string, entry {ENTRY}"
 
-    SCHEMAS = {
-        "groups": "gkey string, first long",
-        "texts": "tid long, ckey string, words array<string>",
-        "segments": "skey long, tid long",
-        "links": "first_id long, dup_id long, score double",
-    }
-    KEYS = {"groups": "gkey", "texts": "tid", "segments": "skey"}
+
+class LinkIndex:
+    """Accepted lines as keyed state below `path`: key -> accepted lines that
+    have it (one for identifiers and tool blocks, the block's texts for blocks).
+
+    A call's lines go into `in/call=n` together with the keys of the lines that
+    the call before accepted; the running query takes the two in one
+    micro-batch and writes what the state has for the call's own keys to
+    `hits/call=n`. `links/call=n` has the rejected lines with the accepted ones.
+    close() puts in the last keys and the weights; an index can be opened again
+    on its path.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.calls = spark, path, 0
-        self.lines: DataFrame | None = None
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.name = "link_" + path.rstrip("/").rpartition("/")[0].rpartition("-")[2]
-        self.weights = Weights()
-        for name in self.SCHEMAS:
-            self._write(spark.createDataFrame([], self.SCHEMAS[name]), name)
-
-    def _write(self, df: DataFrame, name: str) -> None:
-        key = self.KEYS.get(name)
-        if key:
-            df = df.repartition(self.buckets, key)
-            df.write.mode("append").format("parquet").bucketBy(self.buckets, key).option("path", f"{self.path}/{name}").saveAsTable(f"{self.name}_{name}")
-        else:
-            df.write.mode("append").parquet(f"{self.path}/{name}")
-
-    def read(self, name: str) -> DataFrame:
-        if name in self.KEYS:
-            return self.spark.table(f"{self.name}_{name}")
-        return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.path}/{name}")
-
-    def drop(self) -> None:
-        """Removes the key tables; the links stay."""
-        for name in self.KEYS:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name}")
-            Scratch.at_path(self.spark, f"{self.path}/{name}").remove()
-
-    def _near(self, lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(distinct texts, their segments, pairs of near texts with edits) of
-        the lines: each text against those of the index and of the lines."""
-        texts = lines.where("ckey is not null").groupBy("ckey").agg(F.first("block").alias("block"), F.first("words").alias("words"))
-        texts = scratch.save(texts.withColumn("tid", F.xxhash64("ckey")), "texts")
-        keys = scratch.save(texts.mapInArrow(_segment_rows, "tid long, skey long, probe boolean"), "segments")
-        probes = keys.where("probe").select("skey", "tid")
-        now = texts.select("tid", "ckey", "words")
-
-        def pairs(known: DataFrame, known_texts: DataFrame) -> DataFrame:
-            met = probes.join(known.withColumnRenamed("tid", "known_tid"), "skey").where("tid <> known_tid").select("tid", "known_tid").distinct()
-            met = met.join(known_texts.select(F.col("tid").alias("known_tid"), F.col("ckey").alias("known"), F.col("words").alias("known_words")), "known_tid")
-            return met.join(now, "tid").select("ckey", "words", "known", "known_words").where("ckey <> known")
-
-        both = pairs(self.read("segments"), self.read("texts")).unionByName(pairs(keys.where(~F.col("probe")).select("skey", "tid"), now))
-        return texts, keys, scratch.save(both.mapInArrow(_check_rows, "ckey string, known string, edits int"), "near")
+        self.spark, self.path = spark, path.rstrip("/")
+        self.folder = Scratch.at_path(spark, self.path)
+        self.calls, self.heavy, self.weights = 0, False, Weights()
+        self.pending: DataFrame | None = None
+        if kept := self.folder.read_text("about.json"):
+            about = json.loads(kept)
+            self.calls, self.heavy, self.weights = about["calls"], about["heavy"], Weights(about["seen"])
+        self.folder.make("in")
+        self.single = spark.newSession()
+        for key, value in {"adaptive.enabled": "false", "autoBroadcastJoinThreshold": "-1", "codegen.wholeStage": "false", "codegen.factoryMode": "NO_CODEGEN", "session.timeZone": spark.conf.get("spark.sql.session.timeZone")}.items():
+            self.single.conf.set(f"spark.sql.{key}", value)
+        self.query = self._start()
+
+    def _start(self):
+        own = self.spark.newSession()
+        for key, value in STATE_CONF.items():
+            own.conf.set(key, value)
+        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+            own.conf.set(key, self.spark.conf.get(key))
+        # Lists of a few lines are merged by hash instead of being sorted.
+        own.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
+        arriving = own.readStream.schema(f"{ARRIVING}, call int").parquet(f"{self.path}/in")
+        none = F.lit(None).cast(ENTRY)
+        rows = F.array(*[F.struct(F.col(k).alias("gkey"), none.alias("entry"), F.col("call").alias("asked")) for k in ("u", "t", "block")], F.struct("gkey", "entry", F.when(F.col("entry").isNull(), F.col("call")).alias("asked")))
+        keyed = arriving.select(F.explode(F.filter(rows, lambda x: x["gkey"].isNotNull())).alias("x")).select("x.*")
+        state = keyed.groupBy("gkey").agg(F.collect_list("entry").alias("entries"), F.max("asked").alias("asked"))
+
+        def take(df: DataFrame, _: int) -> None:
+            hits = df.where((F.col("asked") == self.calls) & (F.size("entries") > 0)).select("gkey", "entries")
+            seen = Observation()
+            hits = hits.observe(seen, F.max(F.when(F.col("gkey").startswith("b"), F.size("entries"))).alias("most"))
+            (hits.coalesce(1) if self.rows <= ROWS else hits).write.mode("overwrite").parquet(f"{self.path}/hits/call={self.calls}")
+            self.most = observed(seen).get("most") or 0
+
+        return state.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{self.path}/checkpoint").start()
+
+    # -- a call
 
     def add(self, lines: DataFrame) -> None:
-        """Links the next lines, all of which come after those added before."""
+        """Links the next lines (as of prepare), all of which come after those added before."""
+        n = self.calls + 1
+        seen = Observation()
+        lines.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/stage/call={n}")
+        texts = self.spark.read.schema(KEYS).parquet(f"{self.path}/stage/call={n}").where("block is not null")
+        busy = texts.groupBy("block").agg(F.countDistinct("ckey").alias("n")).where(F.col("n") > GROUP).select("block")
+        busy = Scratch(self.spark, "busy").save(busy, "busy")
+        self.add_staged(busy if busy.head(1) else None, observed(seen).get("n", 0))
+
+    @property
+    def at_work(self) -> SparkSession:
+        """The session of a call: a small one is a single partition, for which nothing has to be sent around or planned anew."""
+        return self.single if self.rows <= ROWS else self.spark
+
+    def _read(self, path: str, schema: str) -> DataFrame:
+        df = self.at_work.read.schema(schema).parquet(path)
+        return df.coalesce(1) if self.rows <= ROWS else df
+
+    def add_staged(self, busy: DataFrame | None, rows: int) -> None:
+        """The same for `rows` lines that lie in stage/call=n, n being the next
+        call. busy: the blocks with more than GROUP texts in this call, if any."""
+        if self.pending is not None:
+            self.pending.write.mode("append").parquet(f"{self.path}/stage/call={self.calls + 1}")
         self.calls += 1
-        scratch = Scratch(self.spark, f"link{self.calls}")
-        texts, keys, near = self._near(lines, scratch)
-        # What a line can be held against: its own groups and the groups of texts near its own.
-        own = lines.select("line_id", F.explode("groups").alias("gkey"), F.lit(True).alias("member"))
-        close = near.where(F.col("edits") <= EDITS).select("ckey", F.concat(F.lit("x"), "known").alias("gkey"))
-        held = own.unionByName(lines.where("ckey is not null").select("line_id", "ckey").join(close, "ckey").select("line_id", "gkey", F.lit(False).alias("member")))
-        held = scratch.save(held.join(self.read("groups"), "gkey", "left"), "held")
-        links = scratch.save(_firsts(held.where("first is not null"), "first"), "links0")
-        # Within the call only keys that several lines have decide anything: the other lines are accepted.
-        fresh = held.drop("first").join(links, "line_id", "left_anti")
-        lowest = fresh.where("member").groupBy("gkey").agg(F.min("line_id").alias("low"))
-        open_ = scratch.save(_firsts(fresh.join(lowest, "gkey").where("low < line_id"), "low"), "open0")
-        turn = 0
+        self.rows = rows
+        n, stage = self.calls, f"{self.path}/stage/call={self.calls}"
+        if self.heavy:
+            self._ask_parts(stage)
+        # Renaming a folder publishes all its files at once.
+        self.folder.rename(f"stage/call={n}", f"in/call={n}")
+        self.query.processAllAvailable()
+        scratch = Scratch(self.at_work, f"link{n}")
+        plain = lines = self._read(f"{self.path}/in/call={n}", KEYS).where("line_id is not null")
+        hits = self._read(f"{self.path}/hits/call={n}", f"gkey string, entries array<{ENTRY}>")
+        split = self._split(busy, hits)
+        firsts = hits.where(~F.col("gkey").startswith("b") & ~F.col("gkey").startswith("c")).select("gkey", F.col("entries")[0]["line"].alias("first"))
+        for k in ("u", "t"):
+            lines = lines.join(firsts.select(F.col("gkey").alias(k), F.col("first").alias(f"{k}_first")), k, "left")
+        lines = lines.withColumn("known", F.least("u_first", "t_first")).drop("u_first", "t_first")
+        rest, turn = lines, 0
         while True:
-            # A line whose first counterpart is accepted for good is rejected; the others wait.
             turn += 1
-            waiting = open_.select(F.col("line_id").alias("first_id"))
-            links = scratch.save(links.unionByName(open_.join(waiting, "first_id", "left_anti").select(links.columns)), f"links{turn}")
-            rest = open_.join(links, "line_id", "left_anti").select("line_id")
-            rest = scratch.save(rest, f"rest{turn}")
-            if rest.isEmpty():
+            pairs, counts, followers = self._pairs(rest, hits, split, scratch, turn)
+            self.weights.learn(counts)
+            if not self._decide(rest, pairs, followers, scratch, turn):
                 break
             # Rejected lines leave their groups; what waits is held against what is left there.
-            mine = fresh.join(rest, "line_id", "left_semi")
-            there = fresh.where("member").join(mine.select("gkey").distinct(), "gkey", "left_semi").join(links, "line_id", "left_anti")
-            lowest = there.groupBy("gkey").agg(F.min("line_id").alias("low"))
-            open_ = scratch.save(_firsts(mine.join(lowest, "gkey").where("low < line_id"), "low"), f"open{turn}")
-        self._write(self._scored(links, lines, near), "links")
-        accepted = fresh.where("member").join(links, "line_id", "left_anti")
-        self._write(accepted.groupBy("gkey").agg(F.min("line_id").alias("first")), "groups")
-        # A text is new to the index if its group is.
-        taken = accepted.where("gkey like 'x%'").select(F.substring("gkey", 2, 32).alias("ckey")).distinct()
-        taken = scratch.save(texts.join(taken, "ckey", "left_semi").select("tid", "ckey", "words"), "taken")
-        self._write(keys.where(~F.col("probe")).join(taken, "tid", "left_semi").select("skey", "tid"), "segments")
-        self._write(taken, "texts")
-        scratch.remove()
-
-    def _scored(self, links: DataFrame, lines: DataFrame, near: DataFrame) -> DataFrame:
-        """Links with the score of what they agree in, at the threshold or above."""
-        counts = {(r["u"], r["t"], r["x"]): r["n"] for r in links.groupBy("u", "t", "x").agg(F.count(F.lit(1)).alias("n")).collect()}
-        # Pairs that agree in nothing: candidates that the blocking brought, and each line with any other one.
-        counts[0, 0, 0] = near.where(F.col("edits") > EDITS).count() + lines.count()
-        self.weights.learn(counts)
-        w = [F.element_at(F.array(*[F.lit(float(v)) for v in ws]), F.col(c) + 1) for ws, c in zip(self.weights.weights, "utx")]
-        scored = links.select("first_id", F.col("line_id").alias("dup_id"), (w[0] + w[1] + w[2]).alias("score"))
-        return scored.where(F.col("score") >= self.weights.threshold - 1e-9)
-
-
-def link_batches(raw_line: DataFrame, source_file: DataFrame, call_lines: int = CALL_LINES, index: LinkIndex | None = None, more: dict[str, Column] | None = None) -> LinkIndex:
-    """All batches of raw_line in order against what was accepted before.
+            open_ = self._read(f"{self.path}/links/call={n}/turn={turn}", LINK).where("first_id is null").select(F.col("dup_id").alias("line_id"))
+            left = lines.where("known is null").join(self.links(n).select(F.col("dup_id").alias("line_id")), "line_id", "left_anti")
+            groups = left.select("line_id", F.explode(F.array_compact(F.array("u", "t", "ckey", "block"))).alias("gkey"))
+            near = groups.join(groups.join(open_, "line_id", "left_semi").select("gkey").distinct(), "gkey", "left_semi").select("line_id").distinct()
+            rest = scratch.save(left.join(near, "line_id", "left_semi"), f"rest{turn}")
+            rest = rest.coalesce(1) if rows <= ROWS else rest
+        self.pending = self._accepted(plain, self.links(n), split)
+        if self.work is not None:
+            self.work.remove()
+        self.work = scratch
+
+    work: Scratch | None = None
+    most = rows = 0
+
+    def links(self, call: int | None = None) -> DataFrame:
+        """first_id, dup_id of all calls or of one."""
+        if call is None:
+            found = self.spark.read.schema(LINK).parquet(f"{self.path}/links")
+        else:
+            found = self._read(f"{self.path}/links/call={call}", LINK)
+        # Rows without a first_id are lines that waited for another turn.
+        return found.where("first_id is not null").select("first_id", "dup_id")
+
+    def close(self) -> None:
+        """Puts in what is still to be put in and ends the query."""
+        if self.pending is not None:
+            self.calls += 1
+            self.pending.write.mode("overwrite").parquet(f"{self.path}/stage/call={self.calls}")
+            self.folder.rename(f"stage/call={self.calls}", f"in/call={self.calls}")
+            self.query.processAllAvailable()
+            self.pending = None
+        self.stop()
+        self.folder.write_text("about.json", json.dumps({"calls": self.calls, "heavy": self.heavy, "seen": self.weights.seen.tolist()}))
+
+    def stop(self) -> None:
+        self.query.stop()
+        if self.work is not None:
+            self.work.remove()
+
+    # -- its parts
+
+    def _split(self, busy: DataFrame | None, hits: DataFrame) -> DataFrame | None:
+        """The blocks that are split by word classes, kept in `split`; None if there are none."""
+        fresh = [busy] if busy is not None else []
+        if self.most >= GROUP:
+            fresh.append(hits.where(F.col("gkey").startswith("b") & (F.size("entries") >= GROUP)).select(F.col("gkey").alias("block")))
+        for df in fresh:
+            df.write.mode("append").parquet(f"{self.path}/split")
+            self.heavy = True
+        return self._read(f"{self.path}/split", "block string").distinct() if self.heavy else None
+
+    def _ask_parts(self, stage: str) -> None:
+        """Keys of word classes for the texts of split blocks."""
+        split = self.spark.read.schema("block string").parquet(f"{self.path}/split").distinct()
+        texts = self.spark.read.schema(KEYS).parquet(stage).where("block is not null").select("block", "ckey", "text").dropDuplicates(["ckey"])
+        asked = by_parts(texts.join(split, "block", "left_semi").select("block", "text")).select("gkey", F.lit(None).cast(ENTRY).alias("entry"))
+        asked = Scratch.at_path(self.spark, f"{self.path}/asked").save(asked, f"call={self.calls}")
+        asked.write.mode("append").parquet(stage)
+
+    def _pairs(self, lines: DataFrame, hits: DataFrame, split: DataFrame | None, scratch: Scratch, turn: int) -> tuple[DataFrame, list[int], int]:
+        """(texts near a leader, counts of the patterns, number of texts near one of this call)."""
+        # Texts of lines that are rejected anyway still look for the smallest accepted line.
+        line = F.coalesce(F.min(F.when(F.col("known").isNull(), F.col("line_id"))), F.lit(LAST)).alias("line")
+        texts = lines.where("block is not null").groupBy("ckey").agg(F.first("block").alias("block"), F.first("text").alias("text"), line)
+        texts = texts.select("block", "line", "ckey", "text", F.lit(False).alias("old"))
+        there = hits.where(F.col("gkey").startswith("b") | F.col("gkey").startswith("c")).select("gkey", F.explode("entries").alias("e"))
+        there = there.select("gkey", F.col("gkey").alias("block"), F.col("e.line").alias("line"), F.lit(None).cast("string").alias("ckey"), F.col("e.text").alias("text"), F.lit(True).alias("old"))
+        if split is None:
+            rows = texts.withColumn("gkey", F.col("block")).unionByName(there)
+        else:
+            every = texts.withColumn("gkey", F.col("block")).unionByName(there.where(F.col("gkey").startswith("b")))
+            apart = by_parts(every.join(split, "block", "left_semi").drop("gkey"))
+            rows = every.join(split, "block", "left_anti").unionByName(apart).unionByName(there.where(F.col("gkey").startswith("c")))
+        at = Window.partitionBy("gkey").orderBy("line")
+        # A text that is alone in its group has nothing to be held against.
+        rows = rows.withColumn("after", F.lead("line").over(at)).withColumn("before", F.lag("line").over(at))
+        rows = rows.where("after is not null or before is not null").drop("after", "before")
+        pairs = rows.mapInArrow(_leaders(self.weights.passing), PAIRS)
+        seen = Observation()
+        counts = [F.sum(F.when(F.col("pattern") == k, F.col("n"))).alias(f"p{k}") for k in range(len(PATTERNS))]
+        pairs = pairs.observe(seen, F.count_if(F.col("old") == F.lit(False)).alias("followers"), *counts)
+        scratch.save(pairs, f"pairs{turn}")
+        saved = self._read(scratch.at(f"pairs{turn}"), PAIRS).where("low is not null")
+        got = observed(seen)
+        return saved, [got.get(f"p{k}") or 0 for k in range(len(PATTERNS))], got.get("followers", 0)
+
+    def _decide(self, lines: DataFrame, pairs: DataFrame, followers: int, scratch: Scratch, turn: int) -> int:
+        """Writes the turn's links: rejected lines with the accepted one, and
+        lines that have to wait (first_id null). How many wait?"""
+        near = pairs.groupBy("ckey").agg(F.min(F.when(F.col("old"), F.col("low"))).alias("near_old"), F.min(F.when(~F.col("old"), F.col("low"))).alias("near_new"))
+        held = lines.join(near, "ckey", "left").withColumn("first", F.least("known", "near_old"))
+        fresh = held.where("first is null")
+        lowest = _members(fresh).groupBy("gkey").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).where("low < high").drop("high")
+        low = _members(fresh).join(lowest, "gkey").where("low < line_id").groupBy("line_id").agg(F.min("low").alias("low"))
+        low = held.select("line_id", "first", "near_new").join(low, "line_id", "left").withColumn("low", F.when(F.col("first").isNull(), F.least("low", "near_new")))
+        seen = Observation()
+        low = low.where("first is not null or low is not null").observe(seen, F.count_if(F.col("first").isNull()).alias("open"))
+        scratch.save(low.select("line_id", "first", "low"), f"low{turn}")
+        low = self._read(scratch.at(f"low{turn}"), "line_id long, first long, low long").distinct()
+        to = f"{self.path}/links/call={self.calls}/turn={turn}"
+        done = low.where("first is not null").select(F.col("first").alias("first_id"), F.col("line_id").alias("dup_id"))
+        if not observed(seen).get("open"):
+            done.write.mode("overwrite").parquet(to)
+            return 0
+        # A line whose first counterpart is accepted for good is rejected; the others wait. So do the texts of a block
+        # from its first leader on that is not accepted for good, as those that follow it may still become leaders.
+        open_ = low.where("first is null").select("line_id", "low")
+        unsure = open_.select("line_id")
+        sure = open_
+        if followers:
+            shaky = pairs.where("not old").select("block", F.col("low").alias("line_id")).distinct().join(unsure, "line_id", "left_semi")
+            since = shaky.groupBy("block").agg(F.min("line_id").alias("since"))
+            late = fresh.select("line_id", "block").join(since, "block").where("line_id > since").select("line_id").distinct()
+            unsure, sure = unsure.union(late), sure.join(late, "line_id", "left_anti")
+        unsure = unsure.distinct()
+        sure = sure.join(unsure.select(F.col("line_id").alias("low")), "low", "left_anti")
+        wait = unsure.join(sure, "line_id", "left_anti").select(F.lit(None).cast("long").alias("first_id"), F.col("line_id").alias("dup_id"))
+        result = done.unionByName(sure.select(F.col("low").alias("first_id"), F.col("line_id").alias("dup_id"))).unionByName(wait)
+        left = Observation()
+        result = result.observe(left, F.count_if(F.col("first_id").isNull()).alias("waiting"))
+        (result.coalesce(1) if self.rows <= ROWS else result).write.mode("overwrite").parquet(to)
+        return observed(left).get("waiting", 0)
+
+    def _accepted(self, lines: DataFrame, links: DataFrame, split: DataFrame | None) -> DataFrame:
+        """gkey, entry: the keys of the lines that are accepted now."""
+        taken = lines.join(links.select(F.col("dup_id").alias("line_id")).distinct(), "line_id", "left_anti")
+        entry = lambda text: F.struct(F.col("line_id").alias("line"), text.alias("text"))
+        none = F.lit(None).cast("string")
+        text = F.when(F.size(F.split("text", " ")) >= MIN_WORDS, F.col("text"))
+        whole = F.when(text.isNotNull(), F.col("block"))
+        if split is not None:
+            marked = taken.join(split.withColumn("apart", F.lit(True)), "block", "left").where("apart is null or block is null")
+            apart = by_parts(taken.join(split, "block", "left_semi").where(text.isNotNull()).select("line_id", "block", "text"))
+            parts = apart.select("gkey", entry(F.col("text")).alias("entry"))
+            keys = taken.select(F.explode(F.array_compact(F.array("u", "t"))).alias("gkey"), entry(none).alias("entry"))
+            blocks = marked.where(text.isNotNull()).select(F.col("block").alias("gkey"), entry(F.col("text")).alias("entry"))
+            return keys.unionByName(blocks).unionByName(parts)
+        rows = F.array(F.struct(F.col("u").alias("gkey"), entry(none).alias("entry")), F.struct(F.col("t").alias("gkey"), entry(none).alias("entry")), F.struct(whole.alias("gkey"), entry(text).alias("entry")))
+        return taken.select(F.explode(F.filter(rows, lambda x: x["gkey"].isNotNull())).alias("x")).select("x.*")
+
+
+def calls_of(raw_line: DataFrame) -> list[tuple[list, int]]:
+    """(batches, lines) of each call, in order: a call a batch. Batches whose
+    line_ids overlap are linked in one, as lines are decided in their order."""
+    sizes = raw_line.groupBy("batch_no").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("low").collect()
+    calls: list[tuple[list, int]] = []
+    high = None
+    for r in sizes:  # one row a batch
+        if high is None or r["low"] is None or r["low"] <= high:
+            own, n = calls.pop() if calls else ([], 0)
+            calls.append(([*own, r["batch_no"]], n + r["n"]))
+        else:
+            calls.append(([r["batch_no"]], r["n"]))
+        high = r["high"] if high is None else max(high, r["high"] or high)
+    return calls
+
+
+def link_batches(raw_line: DataFrame, source_file: DataFrame, more: dict[str, Column] | None = None) -> tuple[LinkIndex, DataFrame]:
+    """All batches of raw_line in order, a call each, against what was accepted
+    before: the index and the lines as prepared.
 
     A line is rejected if an accepted line before it has the same identifier
     (128 bits, however written), or the same session and type, neither meta,
     and the same tool block ids or, where neither has tool blocks, a text of at
     least 8 words that is equal but for case, punctuation, white space and at
     most two words. first_id is the smallest such line. Lines without a
-    session or a type can only repeat by identifier; a null batch comes first.
-    No lines give no links. Extra columns are ignored. With `more` the read
-    lines stay at the index, see prepare().
+    session or a type can only repeat by identifier; a null batch is a batch of
+    its own, a line without a line_id is left out, repeated rows are one line.
+    No lines give no links. Extra columns are ignored.
     """
     spark = raw_line.sparkSession
+    raw_line = raw_line.where("line_id is not null")
     scratch = Scratch(spark, "linkage")
-    sizes = raw_line.groupBy("batch_no").agg(F.min("line_id").alias("low"), F.count(F.lit(1)).alias("n")).orderBy("low").collect()
-    call, n, calls = 0, 0, {}
-    for r in sizes:  # one row a batch
-        if n >= call_lines:
-            call, n = call + 1, 0
-        calls[r["batch_no"]] = call
-        n += r["n"]
-    number = F.coalesce(*[F.when(F.col("batch_no").eqNullSafe(F.lit(b)), F.lit(c)) for b, c in calls.items()], F.lit(0)) if calls else F.lit(0)
-    lines = prepare(raw_line, source_file, more).withColumn("call", number)
-    saved = scratch.save(lines, "lines", ["call"])
-    index = index or LinkIndex(spark, scratch.at("index"))
-    needed = ["line_id", "batch_no", "groups", "ckey", "block", "words"]
-    for c in range(call + 1 if calls else 0):
-        index.add(spark.read.schema(lines.drop("call").schema).parquet(scratch.at(f"lines/call={c}")).select(needed))
-    if more:
-        index.lines = saved.drop(*[x for x in needed if x != "line_id"], "call")
-    else:
-        scratch.remove("lines")
-    return index
-
-
-def rejected_lines(raw_line: DataFrame, source_file: DataFrame, call_lines: int = CALL_LINES) -> DataFrame:
-    """first_id, dup_id, score. The index is dropped once the links are there;
-    link_batches keeps one for the batches to come."""
-    index = link_batches(raw_line, source_file, call_lines)
-    index.drop()
-    return index.read("links")
+    index = LinkIndex(spark, scratch.at("index"))
+    calls = calls_of(raw_line)
+    number = F.coalesce(*[F.when(F.col("batch_no").eqNullSafe(F.lit(b)), F.lit(k)) for k, (own, _) in enumerate(calls, 1) for b in own], F.lit(1)) if calls else F.lit(1)
+    lines = prepare(raw_line, source_file, more).withColumn("call", number).drop("batch_no")
+    if not calls:
+        scratch.save(lines, "index/in", ["call"])
+        spark.createDataFrame([], LINK).write.parquet(f"{index.path}/links")
+        index.stop()
+        return index, lines
+    # One shuffle lays the lines out by call, in files of the advised size.
+    lines.hint("rebalance", "call").write.partitionBy("call").mode("overwrite").parquet(f"{index.path}/stage")
+    staged = spark.read.schema(f"{KEYS}, call int").parquet(f"{index.path}/stage")
+    busy = staged.where("block is not null").groupBy("call", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    busy = scratch.save(busy.select("call", "block"), "busy")
+    there = {r["call"] for r in busy.select("call").distinct().collect()}
+    for n, (_, rows) in enumerate(calls, 1):
+        index.add_staged(busy.where(F.col("call") == n).select("block") if n in there else None, rows)
+    index.stop()
+    return index, spark.read.schema(lines.drop("call").schema).parquet(f"{index.path}/in").where("line_id is not null")
+
+
+def rejected_lines(raw_line: DataFrame, source_file: DataFrame) -> DataFrame:
+    """first_id, dup_id."""
+    index, _ = link_batches(raw_line, source_file)
+    return index.links()

@@ -29,9 +29,8 @@ def _conversations(spark: SparkSession, data: str):
     from .linkage import link_batches
 
     lines, files = table(spark, data, "raw_line"), table(spark, data, "source_file")
-    index = link_batches(lines, files, more=needed())
-    index.drop()
-    return rebuild(lines, files, index.read("links").select(F.col("dup_id").alias("line_id")), lines=index.lines)
+    index, prepared = link_batches(lines, files, more=needed())
+    return rebuild(lines, files, index.links().select(F.col("dup_id").alias("line_id")), lines=prepared)
 
 
 def p3_found(spark: SparkSession, data: str) -> DataFrame:
