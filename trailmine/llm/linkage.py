@@ -31,6 +31,8 @@ MIN_WORDS = 8
 EDITS = 2
 #: A substitution touches two classes of words, so EDITS of them leave one.
 CLASSES = 2 * EDITS + 1
+#: Lines for each partition of the state, at least.
+STATE_ROWS = 50_000
 #: A call of so many lines is read as one partition, in which its joins and groups need no shuffle.
 ROWS = 100_000
 #: A block (session and type) of more texts than that is split by word classes;
@@ -252,8 +254,9 @@ class LinkIndex:
     on its path.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, partitions: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = Scratch.at_path(spark, self.path)
         self.calls, self.heavy, self.weights = 0, False, Weights()
         self.pending: DataFrame | None = None
@@ -262,7 +265,7 @@ class LinkIndex:
             self.calls, self.heavy, self.weights = about["calls"], about["heavy"], Weights(about["seen"])
         self.folder.make("in")
         self.single = spark.newSession()
-        for key, value in {"adaptive.enabled": "false", "autoBroadcastJoinThreshold": "-1", "codegen.wholeStage": "false", "codegen.factoryMode": "NO_CODEGEN", "session.timeZone": spark.conf.get("spark.sql.session.timeZone")}.items():
+        for key, value in {"shuffle.partitions": "1", "adaptive.enabled": "false", "autoBroadcastJoinThreshold": "-1", "codegen.wholeStage": "false", "codegen.factoryMode": "NO_CODEGEN", "session.timeZone": spark.conf.get("spark.sql.session.timeZone")}.items():
             self.single.conf.set(f"spark.sql.{key}", value)
         self.query = self._start()
 
@@ -270,8 +273,8 @@ class LinkIndex:
         own = self.spark.newSession()
         for key, value in STATE_CONF.items():
             own.conf.set(key, value)
-        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-            own.conf.set(key, self.spark.conf.get(key))
+        own.conf.set("spark.sql.shuffle.partitions", str(self.partitions))
+        own.conf.set("spark.sql.session.timeZone", self.spark.conf.get("spark.sql.session.timeZone"))
         # Lists of a few lines are merged by hash instead of being sorted.
         own.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         arriving = own.readStream.schema(f"{ARRIVING}, call int").parquet(f"{self.path}/in")
@@ -284,7 +287,7 @@ class LinkIndex:
             hits = df.where((F.col("asked") == self.calls) & (F.size("entries") > 0)).select("gkey", "entries")
             seen = Observation()
             hits = hits.observe(seen, F.max(F.when(F.col("gkey").startswith("b"), F.size("entries"))).alias("most"))
-            (hits.coalesce(1) if self.rows <= ROWS else hits).write.mode("overwrite").parquet(f"{self.path}/hits/call={self.calls}")
+            self._one(hits).write.mode("overwrite").parquet(f"{self.path}/hits/call={self.calls}")
             self.most = observed(seen).get("most") or 0
 
         return state.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{self.path}/checkpoint").start()
@@ -307,7 +310,9 @@ class LinkIndex:
         return self.single if self.rows <= ROWS else self.spark
 
     def _read(self, path: str, schema: str) -> DataFrame:
-        df = self.at_work.read.schema(schema).parquet(path)
+        return self._one(self.at_work.read.schema(schema).parquet(path))
+
+    def _one(self, df: DataFrame) -> DataFrame:
         return df.coalesce(1) if self.rows <= ROWS else df
 
     def add_staged(self, busy: DataFrame | None, rows: int) -> None:
@@ -343,8 +348,7 @@ class LinkIndex:
             left = lines.where("known is null").join(self.links(n).select(F.col("dup_id").alias("line_id")), "line_id", "left_anti")
             groups = left.select("line_id", F.explode(F.array_compact(F.array("u", "t", "ckey", "block"))).alias("gkey"))
             near = groups.join(groups.join(open_, "line_id", "left_semi").select("gkey").distinct(), "gkey", "left_semi").select("line_id").distinct()
-            rest = scratch.save(left.join(near, "line_id", "left_semi"), f"rest{turn}")
-            rest = rest.coalesce(1) if rows <= ROWS else rest
+            rest = self._one(scratch.save(left.join(near, "line_id", "left_semi"), f"rest{turn}"))
         self.pending = self._accepted(plain, self.links(n), split)
         if self.work is not None:
             self.work.remove()
@@ -407,11 +411,11 @@ class LinkIndex:
         there = hits.where(F.col("gkey").startswith("b") | F.col("gkey").startswith("c")).select("gkey", F.explode("entries").alias("e"))
         there = there.select("gkey", F.col("gkey").alias("block"), F.col("e.line").alias("line"), F.lit(None).cast("string").alias("ckey"), F.col("e.text").alias("text"), F.lit(True).alias("old"))
         if split is None:
-            rows = texts.withColumn("gkey", F.col("block")).unionByName(there)
+            rows = self._one(texts.withColumn("gkey", F.col("block")).unionByName(there))
         else:
-            every = texts.withColumn("gkey", F.col("block")).unionByName(there.where(F.col("gkey").startswith("b")))
+            every = self._one(texts.withColumn("gkey", F.col("block")).unionByName(there.where(F.col("gkey").startswith("b"))))
             apart = by_parts(every.join(split, "block", "left_semi").drop("gkey"))
-            rows = every.join(split, "block", "left_anti").unionByName(apart).unionByName(there.where(F.col("gkey").startswith("c")))
+            rows = self._one(every.join(split, "block", "left_anti").unionByName(apart).unionByName(there.where(F.col("gkey").startswith("c"))))
         at = Window.partitionBy("gkey").orderBy("line")
         # A text that is alone in its group has nothing to be held against.
         rows = rows.withColumn("after", F.lead("line").over(at)).withColumn("before", F.lag("line").over(at))
@@ -452,14 +456,14 @@ class LinkIndex:
             shaky = pairs.where("not old").select("block", F.col("low").alias("line_id")).distinct().join(unsure, "line_id", "left_semi")
             since = shaky.groupBy("block").agg(F.min("line_id").alias("since"))
             late = fresh.select("line_id", "block").join(since, "block").where("line_id > since").select("line_id").distinct()
-            unsure, sure = unsure.union(late), sure.join(late, "line_id", "left_anti")
+            unsure, sure = self._one(unsure.union(late)), sure.join(late, "line_id", "left_anti")
         unsure = unsure.distinct()
         sure = sure.join(unsure.select(F.col("line_id").alias("low")), "low", "left_anti")
         wait = unsure.join(sure, "line_id", "left_anti").select(F.lit(None).cast("long").alias("first_id"), F.col("line_id").alias("dup_id"))
         result = done.unionByName(sure.select(F.col("low").alias("first_id"), F.col("line_id").alias("dup_id"))).unionByName(wait)
         left = Observation()
         result = result.observe(left, F.count_if(F.col("first_id").isNull()).alias("waiting"))
-        (result.coalesce(1) if self.rows <= ROWS else result).write.mode("overwrite").parquet(to)
+        self._one(result).write.mode("overwrite").parquet(to)
         return observed(left).get("waiting", 0)
 
     def _accepted(self, lines: DataFrame, links: DataFrame, split: DataFrame | None) -> DataFrame:
@@ -512,8 +516,10 @@ def link_batches(raw_line: DataFrame, source_file: DataFrame, more: dict[str, Co
     spark = raw_line.sparkSession
     raw_line = raw_line.where("line_id is not null")
     scratch = Scratch(spark, "linkage")
-    index = LinkIndex(spark, scratch.at("index"))
     calls = calls_of(raw_line)
+    # As many partitions of the state as the session shuffles into, but none of fewer than STATE_ROWS lines.
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = LinkIndex(spark, scratch.at("index"), max(1, min(most, sum(n for _, n in calls) // STATE_ROWS)))
     number = F.coalesce(*[F.when(F.col("batch_no").eqNullSafe(F.lit(b)), F.lit(k)) for k, (own, _) in enumerate(calls, 1) for b in own], F.lit(1)) if calls else F.lit(1)
     lines = prepare(raw_line, source_file, more).withColumn("call", number).drop("batch_no")
     if not calls:
