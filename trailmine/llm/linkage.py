@@ -287,7 +287,7 @@ class LinkIndex:
             hits = df.where((F.col("asked") == self.calls) & (F.size("entries") > 0)).select("gkey", "entries")
             seen = Observation()
             hits = hits.observe(seen, F.max(F.when(F.col("gkey").startswith("b"), F.size("entries"))).alias("most"))
-            self._one(hits).write.mode("overwrite").parquet(f"{self.path}/hits/call={self.calls}")
+            hits.write.mode("overwrite").parquet(f"{self.path}/hits/call={self.calls}")
             self.most = observed(seen).get("most") or 0
 
         return state.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{self.path}/checkpoint").start()
