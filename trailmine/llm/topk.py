@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .canon import act_form, target_form
 
-#: Nodes of the method: groups of rows by a hash of the event. They bound what one node counts, not what is counted.
-NODES = 64
-
 
 def local_counts(rows: DataFrame, node: Column, fields: dict[str, Column]) -> DataFrame:
-    """(node, field, item, n) from one shuffle by node."""
+    """(node, field, item, n); summed up in the map task before the shuffle."""
     pairs = F.array(*[F.struct(F.lit(name).alias("field"), value.cast("string").alias("item")) for name, value in fields.items()])
     return (
         rows.select(node.alias("node"), F.explode(pairs).alias("x"))
@@ -42,11 +39,17 @@ def threshold_top(counts: DataFrame, top: dict[str, int]) -> DataFrame:
     nodes = counts.select("node").distinct().count()
     if not nodes:
         return counts.groupBy("field", "item").agg(F.sum("n").alias("n")).select("field", "item", "n")
-    best = Window.partitionBy("field").orderBy(F.desc("n"), "item")
+    most_asked = max(top.values())
+
+    def first_k(df: DataFrame, *by: str) -> DataFrame:
+        """The first k of each field (and node), with their place r. The literal limit lets every task keep
+        its own first ones only, before anything meets in one place."""
+        best = Window.partitionBy(*by).orderBy(F.desc("n"), "item")
+        return df.select("*", F.row_number().over(best).alias("r")).where(F.col("r") <= most_asked).where(F.col("r") <= k)
 
     def kth(partial: DataFrame) -> dict[str, int]:
         """The k-th largest partial sum of each field: no true k-th count is lower."""
-        ranked = partial.select("field", "n", F.row_number().over(best).alias("r")).where(F.col("r") <= k)
+        ranked = first_k(partial.select("field", "item", "n"), "field")
         return {r["field"]: r["n"] for r in ranked.groupBy("field").agg(F.max("r").alias("r"), F.min("n").alias("n")).where(F.col("r") == k).collect()}
 
     def bound(values: dict[str, float]) -> Column:
@@ -54,7 +57,7 @@ def threshold_top(counts: DataFrame, top: dict[str, int]) -> DataFrame:
         return F.element_at(F.create_map(*known), F.col("field"))
 
     # 1: leaders of each node.
-    leaders = counts.select("*", F.row_number().over(Window.partitionBy("node", "field").orderBy(F.desc("n"), "item")).alias("r")).where(F.col("r") <= k)
+    leaders = first_k(counts, "node", "field")
     low = kth(leaders.groupBy("field", "item").agg(F.sum("n").alias("n")))
     # 2: everything that reaches its share of the bound; an item that is in no node at its share is below the bound.
     share = {f: v / nodes for f, v in low.items()}
@@ -65,18 +68,18 @@ def threshold_top(counts: DataFrame, top: dict[str, int]) -> DataFrame:
     most = F.col("n") + (F.lit(nodes) - F.col("at")) * bound(share)
     able = sent.where(most >= bound(low)).select("field", "item")
     exact = counts.join(able, ["field", "item"], "left_semi").groupBy("field", "item").agg(F.sum("n").alias("n"))
-    return exact.select("*", F.row_number().over(best).alias("r")).where(F.col("r") <= k).select("field", "item", "n")
+    return first_k(exact, "field").select("field", "item", "n")
 
 
-def top_values(events: DataFrame, acts: int = 20, targets: int = 40, nodes: int = NODES) -> DataFrame:
+def top_values(events: DataFrame, acts: int = 20, targets: int = 40) -> DataFrame:
     """field ('act' or 'tgt'), item, n: the most frequent acts and targets of
     the events. Copies of an event (p, s, a, i, seg) count once, with the
     smallest spelling of its target; events without an act are left out, and
-    null or blank targets. Nulls in the key count as values."""
+    null or blank targets. Nulls in the key count as values. The nodes are the
+    partitions that the shuffle of the copies gives, as many as the data needs."""
     keys = ["p", "s", "a", "i", "seg"]
     rows = events.select(*keys, act_form(events["act"]).alias("act"), target_form(events["tgt"]).alias("tgt")).where("act is not null")
-    # The node follows from the event, so that copies meet, and one shuffle by node serves the copies and the counts.
-    rows = rows.withColumn("node", F.pmod(F.xxhash64(*[F.coalesce(F.col(x).cast("string"), F.lit("\x00")) for x in keys]), F.lit(nodes)))
-    once = rows.repartition("node").groupBy("node", *keys).agg(F.min("act").alias("act"), F.min("tgt").alias("tgt"))
+    # Copies are reduced in the map tasks, so that an event with very many is no hot key.
+    once = rows.groupBy(*keys).agg(F.min("act").alias("act"), F.min("tgt").alias("tgt")).withColumn("node", F.spark_partition_id())
     counts = Scratch(events.sparkSession, "topk").save(local_counts(once, F.col("node"), {"act": F.col("act"), "tgt": F.col("tgt")}), "counts")
     return threshold_top(counts, {"act": acts, "tgt": targets})
