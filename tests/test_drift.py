@@ -96,3 +96,18 @@ def test_renamed_approved_fields_and_parents(spark):
     got = consistent_table(line_df, file_df).select("file_id", "line_no", "git_branch", "role", "content", "model", "rescued").collect()
     want = [(f, k, f"topic/{k:04d}-x", ("user", "assistant")[k % 2], json.dumps(f"text {k}"), f"model-{k % 3}", None) for f in (1, 2, 3) for k in range(20)]
     assert sorted(map(tuple, got)) == want
+
+
+def test_changes_come_from_ingested_rows(spark):
+    """Strict ingestion keeps what comes in another JSON type in the rescue column, where the profile finds its type."""
+    from trailmine.operators.drift import ingest, profiles
+
+    body = ['{"type": "a", "timestamp": 1700000000000, "isSidechain": "true", "message": {"role": "user", "content": [{"id": 1}]}, "x": {"y": 1}}', '{"type": 5, "timestamp": "2024-01-01T00:00:00Z", "isSidechain": true}', "{", None]
+    df = spark.createDataFrame([(1, k, b, 9) for k, b in enumerate(body)], "file_id long, line_no long, body string, type long")
+    rows = ingest(df, strict=True).orderBy("line_no").collect()
+    assert [(r["readable"], r["type"], r["is_sidechain"], r["timestamp"] is not None) for r in rows] == [(True, "a", None, False), (True, None, True, True), (False, None, None, False), (False, None, None, False)]
+    found = {r["path"]: (r["kinds"], r["n"]) for r in profiles(df).collect()}
+    assert found == {
+        "type": (["number", "string"], 2), "timestamp": (["number", "string"], 2), "isSidechain": (["boolean", "string"], 2), "message": (["object"], 1), "message.role": (["string"], 1), "message.content": (["array"], 1),
+        "message.content[].id": (["number"], 1), "x": (["object"], 1), "x.y": (["number"], 1),
+    }

@@ -1,10 +1,11 @@
 """Schemas that drift between files (problem 2).
 
 Method: rescue-column ingestion. Each line is read against a target schema;
-fields it lacks and values that don't cast are kept as JSON in a rescue
+fields it lacks and values that don't fit are kept as JSON in a rescue
 column; approved fields are promoted and rescued values replayed into the typed
-columns. The changes between the files of a series come from field profiles
-that are summed up before they are shuffled.
+columns. The changes between the files of a series come from profiles of the
+ingested rows: what stands in the typed columns and what had to be rescued. They
+are summed up before they are shuffled.
 """
 
 from __future__ import annotations
@@ -113,10 +114,14 @@ def _profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     schema = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("kinds", pa.list_(pa.string())), ("n", pa.int64()), ("shapes", pa.map_(pa.string(), pa.int64())), ("sketch", pa.list_(pa.int64()))])
     for b in batches:
         fields: dict[tuple[int, str], list] = {}
-        for file_id, line in zip(b.column("file_id").to_pylist(), b.column("body").to_pylist()):
-            value = parse(line)
-            if value is None or file_id is None:
+        typed = [(t, b.column(t.column).to_pylist()) for t in TARGET]
+        for k, (file_id, readable, rescued) in enumerate(zip(*(b.column(c).to_pylist() for c in ("file_id", "readable", "rescued")))):
+            if not readable or file_id is None:
                 continue
+            value = json.loads(rescued) if rescued else {}
+            for t, values in typed:
+                if values[k] is not None:
+                    _put(value, t.path, _untyped(values[k], t.type))
             for path, v in walk(value):
                 own = fields.get((file_id, path))
                 if own is None:
@@ -132,9 +137,11 @@ def _profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def profiles(log_line: DataFrame) -> DataFrame:
     """A row for each file and field: JSON types, number of values, shapes with
-    counts, and the values with the lowest hashes. Summed up for each batch of
-    lines before the shuffle, so that a hot file is no hot group."""
-    rows = log_line.select("file_id", "body").mapInArrow(_profile_rows, FILE_PROFILE)
+    counts, and the values with the lowest hashes, from the lines as ingested:
+    a target's column has the values of the JSON type that it is for, the rescue
+    column has all others. Summed up for each batch of lines before the shuffle,
+    so that a hot file is no hot group."""
+    rows = ingest(log_line, strict=True).mapInArrow(_profile_rows, FILE_PROFILE)
     return rows.groupBy("file_id", "path").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"),
         F.sum("n").alias("n"),
@@ -242,7 +249,8 @@ def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def schema_changes(log_line: DataFrame, log_file: DataFrame) -> DataFrame:
     """file_id, change, old_field, new_field: how each file differs from the
-    one of the preceding ordinal in its series.
+    one of the preceding ordinal in its series; of files with the same place in a
+    series the one with the smallest file_id stands for all.
 
     change is added, removed, renamed or retyped. Files without a preceding
     one have no changes; a file without readable lines has no fields, so that
@@ -254,7 +262,7 @@ def schema_changes(log_line: DataFrame, log_file: DataFrame) -> DataFrame:
     wide = fields.groupBy("file_id").agg(
         F.collect_list(F.struct("path", "kinds", "n", "shapes", "sketch")).alias("fields"), F.max(F.when(~F.col("path").contains("."), F.col("n"))).alias("lines")
     )
-    files = log_file.where("file_id is not null and series_id is not null and ordinal is not null").select("file_id", "series_id", "ordinal").dropDuplicates(["series_id", "ordinal"])
+    files = log_file.where("file_id is not null and series_id is not null and ordinal is not null").groupBy("series_id", "ordinal").agg(F.min("file_id").alias("file_id"))
     wide = files.join(wide, "file_id", "left")
     none = F.array().cast(fields_type(wide))
     wide = wide.select("file_id", "series_id", "ordinal", F.coalesce("fields", none).alias("fields"), F.coalesce("lines", F.lit(0)).alias("lines"))
@@ -341,6 +349,17 @@ def cast_value(value, to: str):
     return None
 
 
+#: The JSON type that a target's values have as they come.
+_COMES_AS = {"string": "string", "timestamp": "string", "boolean": "boolean", "long": "number", "double": "number"}
+
+
+def _untyped(value, of: str):
+    """The JSON value of a typed one."""
+    if of == "json":
+        return json.loads(value)
+    return value.isoformat(timespec="milliseconds").replace("+00:00", "Z") if of == "timestamp" else value
+
+
 def _take(row: dict, path: str):
     """(found, value) under a path; takes it out of the row if it is there, and
     the objects above it that it leaves empty."""
@@ -368,16 +387,18 @@ _ARROW = {"string": pa.string(), "json": pa.string(), "boolean": pa.bool_(), "lo
 _SPARK = {"json": "string", "long": "bigint"}
 
 
-def _fill(row: dict, targets: tuple[Target, ...], names: dict[str, str]) -> dict:
+def _fill(row: dict, targets: tuple[Target, ...], names: dict[str, str], strict: bool = False) -> dict:
     """Typed values of the targets, under their path or the name it has in this
-    file; what doesn't cast stays in the row."""
+    file; what doesn't cast stays in the row, if strict also what comes in
+    another JSON type than the target's."""
     out = {}
     for t in targets:
         for path in dict.fromkeys((t.path, names.get(t.path, t.path))):
             found, value = _take(row, path)
             if not found:
                 continue
-            typed = cast_value(value, t.type)
+            fits = not strict or value is None or _COMES_AS.get(t.type, kind_of(value)) == kind_of(value)
+            typed = cast_value(value, t.type) if fits else None
             if typed is None and value is not None:
                 _put(row, path, value)
             elif out.get(t.column) is None:
@@ -385,7 +406,7 @@ def _fill(row: dict, targets: tuple[Target, ...], names: dict[str, str]) -> dict
     return out
 
 
-def _ingest_rows(targets: tuple[Target, ...]):
+def _ingest_rows(targets: tuple[Target, ...], strict: bool):
     schema = pa.schema([("file_id", pa.int64()), ("line_no", pa.int64()), ("readable", pa.bool_()), *[(t.column, _ARROW[t.type]) for t in targets], ("rescued", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +418,7 @@ def _ingest_rows(targets: tuple[Target, ...]):
                 if row is None:
                     out.append({"file_id": file_id, "line_no": line_no, "readable": False, "rescued": body})
                     continue
-                typed = _fill(row, targets, dict(names or ()))
+                typed = _fill(row, targets, dict(names or ()), strict)
                 out.append({"file_id": file_id, "line_no": line_no, "readable": True, **typed, "rescued": json.dumps(row, ensure_ascii=False) if row else None})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -408,20 +429,21 @@ def _columns(targets: tuple[Target, ...]) -> str:
     return ", ".join(f"{t.column} {_SPARK.get(t.type, t.type)}" for t in targets)
 
 
-def ingest(log_line: DataFrame, renames: DataFrame | None = None, targets: tuple[Target, ...] = TARGET) -> DataFrame:
+def ingest(log_line: DataFrame, renames: DataFrame | None = None, targets: tuple[Target, ...] = TARGET, strict: bool = False) -> DataFrame:
     """All lines as one table: file_id, line_no, readable, the targets typed,
     and rescued: as JSON what the target schema lacks or what doesn't cast, or
     the line itself if it can't be read. No row is lost or added.
 
     renames (file_id, names map of a target's path to its name in the file)
-    leads a target's values under other names into its column.
+    leads a target's values under other names into its column. strict: values
+    that would cast but come in another JSON type are rescued as well.
     """
     lines = log_line.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("long").alias("line_no"), "body")
     if renames is not None:
         lines = lines.join(renames, "file_id", "left")
     else:
         lines = lines.withColumn("names", F.lit(None).cast("map<string,string>"))
-    return lines.mapInArrow(_ingest_rows(targets), f"file_id long, line_no long, readable boolean, {_columns(targets)}, rescued string")
+    return lines.mapInArrow(_ingest_rows(targets, strict), f"file_id long, line_no long, readable boolean, {_columns(targets)}, rescued string")
 
 
 def _promote_rows(names: list[str], targets: tuple[Target, ...]):
