@@ -153,3 +153,21 @@ def test_filler_of_several_sentences():
     assert judge(f"One real sentence stands here. {LATIN}") == judge(f"One real sentence stands here.\n\n{LATIN}\n\nSed do eiusmod tempor. Nulla facilisi.") == "filler"
     assert judge(f"{REAL} {REAL} {LATIN}") is None
     assert judge("We looked at the page. Lorem ipsum was still on it. We took it out and told the team. It is in order now.") is None
+
+
+@pytest.mark.parametrize("text", [
+    "Sorry, this content is not available right now. Please try again in a few minutes.", "Error 418\n\nThe server refused this request.", "Your account does not have permission to view this document. Contact your administrator.",
+    "The connection timed out while loading this page.", "<h1>503</h1><p>The service is temporarily overloaded. Retry later.</p>", "You need to enable JavaScript to use this application.", "Please verify that you are human before continuing.",
+    "Die Seite ist nicht verfügbar. Bitte versuchen Sie es später erneut.", "Página no disponible. Intente más tarde.", "Erreur 404. Cette page est introuvable.", "页面找不到，请稍后重试。", "One real sentence about parsers and their tables.\n\nAccess denied. Please log in again.",
+])
+def test_notices_in_other_words(text):
+    """Wordings made up for this test: what counts are a page's words, not its phrases."""
+    assert judge(text) == "notice"
+
+
+@pytest.mark.parametrize("text", [
+    "The login page failed twice during the rollout, so we reverted the cookie change.", "Retry storms exhausted our quota on Tuesday; the dashboard shows which tenants were affected.", "We moved the error page templates into their own module and added snapshot tests.",
+    "Our browser matrix covers Firefox, Safari and Chrome; scripts run nightly.", "The cache is cold. It fills within an hour. Nobody has complained so far about slow starts.", "服务器在周二重启了三次，原因是内存泄漏，我们已经在新版本里修复。",
+])
+def test_texts_about_errors_are_real(text):
+    assert judge(text) is None

@@ -1,10 +1,10 @@
 """Problem 10: template residue, filler and error-page text.
 
 Method: grammars for unfilled placeholders, one for each kind of delimiter,
-and patterns for filler, error pages and scripts-required notices. Code blocks
-and inline code are taken out first; quotations and text about such things are
-discounted by their context, and error text counts by its density: only where
-at most one real sentence stands beside it.
+patterns for filler, and the density of the words that error pages and
+scripts-required notices are made of. Code blocks and inline code are taken out
+first; quotations and text about such things are discounted by their context,
+and filler and notices count only where at most one real sentence stands beside.
 """
 
 from __future__ import annotations
@@ -80,81 +80,75 @@ FILLER = [
 
 # ---- error pages and notices ---------------------------------------------------------
 
-_CODE = r"(?:4(?:0[0-9]|1[0-8]|2[0-9]|51)|5(?:0[0-9]|1[01]|2[0-9]))"
-#: Headings and messages of error pages, sign-in walls, bot checks and scripts-required notices: a whole sentence must fit.
-NOTICES = [
-    re.compile(x, re.I)
-    for x in (
-        rf"^(?:(?:http|error|err|erreur|fehler|status)[ :#-]*(?:code[ :]*)?)?{_CODE}(?:\b[ :,-]*.{{0,60}})?$",
-        rf"^.{{0,25}}\b(?:error|erreur|fehler|código|code|http)[ :#-]*{_CODE}$",
-        r"^(?:this |the |that )?(?:page|site|address|address you asked for|document|file|article|url|link|resource|what you were looking for|web page)\b.{0,30}\b(?:not found|could ?n[o']?t be found|cannot be found|can't be found|(?:is )?gone|does not exist|doesn't exist|no longer exists?|is missing|unavailable|not available|has moved|was moved|does not lead anywhere|may be old(?: or mistyped)?|may have (?:moved|been removed))\b.{0,40}$",
-        r"^(?:oops|whoops|sorry|uh oh|hmm)\b.{0,70}$",
-        r"^we (?:could ?n[o']?t|can ?not|can't|were unable to|are unable to|couldn't) (?:load|find|show|display|reach|open)\b.{0,60}$",
-        r"^we looked everywhere\b.{0,50}$",
-        r"^there is nothing here\b.{0,20}$",
-        r"^it was moved or never existed$",
-        r"^(?:it|this) (?:may|might) have been (?:moved|deleted|removed)\b.{0,30}$",
-        r"^(?:go|return|take me|back)\b.{0,20}\b(?:home|start page|homepage|main page|front page)\b.{0,15}$",
-        r"^try (?:the search(?: box)?|again|reloading|refreshing|another)\b.{0,40}$",
-        r"^(?:check|please check) the (?:address|url|link|spelling)\b.{0,30}$",
-        r"^(?:something|anything) (?:went wrong|broke)\b.{0,40}$",
-        r"^an? (?:internal |unexpected |unknown |unhandled )?(?:error|exception|problem|failure)(?: has| was| is)? (?:occurred|occured|happened|raised|encountered)\b.{0,50}$",
-        r"^(?:unexpected|internal|unknown|fatal|application|server|internal server) (?:failure|error|problem|server error|server problem)$",
-        r"^(?:our|the) (?:team|engineers?|administrators?|support) (?:has|have) been (?:told|notified|informed|alerted)\b.{0,30}$",
-        r"^error id\b.{0,40}$",
-        r"^(?:bad gateway|gateway time(?:d )?-?out|gateway timed out|service (?:temporarily )?unavailable|temporarily unavailable|service paused for upkeep|bad request|forbidden|unauthori[sz]ed|not found|page not found|method not allowed|request time-?out|internal server problem)$",
-        r"^the (?:upstream|origin|remote)? ?(?:service|server|host|backend) (?:gave|returned|sent|is|was|did|could|timed)\b.{0,50}\b(?:reply|response|answer|busy|serviced|unavailable|down|overloaded|respond|out|temporarily)\b.{0,30}$",
-        r"^(?:reload|refresh|retry)\b.{0,40}$",
-        r"^(?:please )?(?:come|check|try) back\b.{0,25}$",
-        r"^(?:please )?try again\b.{0,30}$",
-        r"^we (?:will|'ll|should) (?:return|be back|be right back)\b.{0,25}$",
-        r"^(?:down|closed|offline) for (?:maintenance|upkeep)\b.{0,30}$",
-        r"^(?:scheduled |under )?maintenance\b.{0,20}$",
-        r"^thank you for (?:waiting|your patience)$",
-        r"^(?:access|permission|request|entry) (?:was |is )?(?:denied|refused|rejected|blocked|forbidden)\b.{0,20}$",
-        r"^not allowed(?: here)?$",
-        r"^you (?:have been|are|were) (?:blocked|signed out|logged out|not allowed|not authori[sz]ed|being redirected|banned)\b.{0,40}$",
-        r"^you (?:lack|do not have|don't have|need)\b.{0,20}\b(?:rights?|permissions?|access|privileges)\b.{0,40}$",
-        r"^your (?:request|address|ip|access|connection) (?:was|is|has been) (?:blocked|denied|refused|rejected)\b.{0,40}$",
-        r"^ask the (?:site )?(?:owner|administrator|webmaster)\b.{0,40}$",
-        r"^(?:incident|support|reference|request|trace|ray|error|case|event|ticket|key|código|vorgang)(?: (?:number|id|code))?[ :#]*[0-9a-f]{6,}\b.{0,20}$",
-        r"^(?:too many requests|slow down|rate limit(?:ed)?(?: reached| exceeded)?\b.{0,40}|quota (?:used up|exceeded|reached)\b.{0,20})$",
-        r"^you (?:sent|made|have made|have sent) (?:too many|more) (?:calls|requests)\b.{0,40}$",
-        r"^wait [0-9a-f]+ (?:seconds?|minutes?)\b.{0,20}$",
-        r"^(?:login|log-?in|sign-?in|authentication|authorization)(?: is)? (?:needed|required|necessary)\b.{0,20}$",
-        r"^(?:please )?(?:sign|log) ?in(?: again)?(?: to (?:continue|go on|view|read|see)\b.{0,30})?$",
-        r"^(?:members|subscribers) only$",
-        r"^create an account(?: or (?:log|sign) in)?\b.{0,20}$",
-        r"^(?:forgot|forgotten|lost) (?:your |my )?password$",
-        r"^your session (?:has )?(?:run out|expired|timed out|ended)\b.{0,20}$",
-        r"^(?:just a (?:second|moment|sec)|one moment|hold on|please wait|a moment please)\b.{0,45}$",
-        r"^(?:checking|verifying|we check|we are checking)\b.{0,15}\b(?:your browser|you are (?:a )?human|connection|that you are human)\b.{0,30}$",
-        r"^(?:security check|human verification|captcha)\b.{0,20}$",
-        r"^you will be (?:sent on|redirected|forwarded)\b.{0,30}$",
-        r"^this (?:step|check|process) (?:runs by itself|is automatic)\b.{0,20}$",
-        r"^(?:complete|solve) the (?:puzzle|captcha|challenge)\b.{0,30}$",
-        r"^(?:please )?(?:enable|activate|allow|turn on|switch on)\b.{0,25}\b(?:javascript|scripts?|scripting|cookies)\b.{0,50}$",
-        r"^(?:javascript|scripts?|cookies|scripting)\b.{0,15}\b(?:required|needed|disabled|(?:switched|turned) off|not enabled|blocked|must be enabled|are off|is off)\b.{0,30}$",
-        r"^you (?:must|need to|have to|should) (?:allow|enable|turn on|activate)\b.{0,20}\b(?:scripts?|javascript|cookies)\b.{0,30}$",
-        r"^(?:this|the) (?:app|application|site|page|viewer|website|content)\b.{0,20}\b(?:needs|requires|cannot (?:start|load|run|work|be shown)|can't|won't|does not (?:work|load|run))\b.{0,50}$",
-        r"^your browser (?:does not|doesn't|is not|isn't|has|is)\b.{0,50}$",
-        # German, Spanish, French, Chinese
-        r"^(?:diese|die) (?:seite|adresse)\b.{0,20}\b(?:existiert nicht|nicht gefunden|gibt es nicht|nicht verfügbar)\b.{0,20}$|^seite nicht gefunden$",
-        r"^(?:bitte )?(?:prüfen|überprüfen) sie die (?:eingabe|adresse)\b.{0,15}$|^bitte prüfen sie die (?:eingabe|adresse)$",
-        r"^wartungsarbeiten\b.{0,15}$|^wir sind (?:gleich|bald) (?:zurück|wieder da)$|^(?:zugriff|zugang) (?:verweigert|gesperrt)$|^vorgang\b.{0,12}\bwurde gesperrt$",
-        r"^javascript ist (?:abgeschaltet|deaktiviert|ausgeschaltet|erforderlich)\b.{0,10}$|^(?:bitte )?(?:skripte|javascript) (?:erlauben|aktivieren|einschalten)\b.{0,40}$|^bitte (?:aktivieren|erlauben) sie\b.{0,40}$|^(?:bitte )?versuchen sie es\b.{0,25}$",
-        r"^(?:página|pagina) no (?:encontrada|existe|disponible)\b.{0,15}$|^la (?:dirección|página)\b.{0,20}\b(?:ya )?no existe\b.{0,15}$|^código [0-9a-f]+$|^acceso (?:denegado|restringido|prohibido)$|^en mantenimiento\b.{0,15}$|^servicio (?:no disponible|suspendido|en mantenimiento)\b.{0,15}$|^(?:vuelva|volvemos|inténtelo|intente)\b.{0,30}$|^algo salió mal$",
-        r"^(?:active|activa|habilite) (?:javascript|los scripts)\b.{0,30}$|^esta página necesita (?:scripts|javascript)\b.{0,20}$",
-        r"^page (?:introuvable|non trouvée|inexistante|indisponible)$|^cette page\b.{0,12}\b(?:n['’]existe (?:pas|plus)|est introuvable)\b.{0,15}$|^retour(?:ner)? à l['’]accueil$|^réessayez\b.{0,15}$|^accès (?:refusé|interdit)$|^erreur(?: interne)?(?: du serveur)?$|^(?:service|site) (?:indisponible|en maintenance)$|^(?:une erreur)\b.{0,30}$",
-        r"^(?:le )?javascript est (?:désactivé|requis|nécessaire)\b.{0,10}$|^activez (?:les scripts|javascript)\b.{0,40}$|^veuillez activer\b.{0,30}$",
-        r"^(?:页面|网页|该页)(?:不存在|未找到|找不到|已失效).{0,8}$|^(?:404|403|500|502|503)? ?(?:找不到|禁止访问|服务器错误|服务暂停|访问被拒绝|拒绝访问|无权访问).{0,10}$|^您访问的地址.{0,20}$|^请(?:检查网址|返回首页|稍后再试|稍后重试|登录|启用脚本|开启脚本|打开脚本|启用 ?javascript).{0,15}$|^系统维护(?:中)?.{0,12}$|^浏览器(?:需要|未|不).{0,20}$|^(?:编号|错误码)[ :：]?[0-9a-f]+$|^服务暂停$|^访问受限.{0,10}$",
-    )
-]
+#: HTTP status codes from 400 on.
+_CODE = re.compile(r"(?:4(?:0[0-9]|1[0-8]|2[0-9]|31|51)|5(?:0[0-9]|1[01]|2[0-9]))")
+#: Words that error pages, sign-in walls, bot checks, maintenance and scripts-required notices are made of, by language:
+#: a sentence of such a page has one of the first list and hardly a word that is in neither.
+CORE = {
+    "en": """error errors failure failed fault exception oops whoops sorry found missing gone exist exists existed unavailable available moved deleted removed expired broken wrong invalid denied forbidden access slow rate
+        unauthorized refused rejected blocked banned restricted permission permissions rights allowed authorized login signin sign log signed logged password account members subscribers session browser
+        javascript scripts script scripting cookies enable enabled disabled activate captcha human robot verify verifying verification checking security maintenance upkeep down offline overloaded
+        busy timeout timed gateway server upstream internal request requests quota limit reached exceeded exceed many retry retrying reload refresh again later redirected forwarded redirect waiting wait
+        patience notified informed incident reference ray support administrator webmaster owner nothing unexpected occurred happened address mistyped homepage upgrade outdated unsupported
+        temporarily went paused puzzle challenge continue unable load problem problems bad broke crashed crash raised thrown uncaught unhandled moment second come used allows""",
+    "de": """fehler seite adresse nicht gefunden existiert verfügbar zugriff zugang verweigert gesperrt wartung wartungsarbeiten javascript skripte cookies erlauben aktivieren einschalten abgeschaltet deaktiviert
+        erforderlich braucht benötigt versuchen später erneut anmelden anmeldung browser vorgang eingabe prüfen überprüfen zurück laden sitzung abgelaufen server""",
+    "es": """error página pagina encontrada existe disponible acceso denegado restringido prohibido mantenimiento servicio suspendido javascript scripts cookies active activa habilite necesita vuelva volvemos
+        inténtelo intente tarde código dirección mal sesión servidor navegador""",
+    "fr": """erreur introuvable trouvée inexistante indisponible existe accès refusé interdit maintenance javascript scripts cookies activez activer désactivé requis nécessaire réessayez retour accueil
+        adresse session serveur navigateur""",
+}
+SIDE = {
+    "en": """a an and any anything are as at back be been before but by can cannot can't could couldn't did do does doesn't don't for from get go had has have haven't he here home how i if in into is isn't it its itself just
+        lack let may me might moment moments more must my need needed needs needing new no not now of off on once one only or our out page pages please press return second seconds minute minutes hour hours shortly
+        should site sites so something start step still such take team than thank thanks that the their them there they this those to too try trying turn turned until up url use using view visit was we web website
+        were what when where which while who will with won't work working works would you your yours link links document file article resource content app application viewer search box spelling check complete
+        click button continue contact email id code number key case event trace ticket act action while proceed shown show display read see open run runs automatic automatically switch switched switching
+        required requires require sent made calls reply response answer gave returned service services soon being it's we'll we're you're looking looked everywhere never old lead leads anywhere connection ip your
+        create forgot forgotten lost ask asked tell told alert alerted engineers administrators first main front little bit few plan side sides processing rendering rendered displaying fatal internal unknown another again status http gateway device network safe rule rules firewall protect protected process""",
+    "de": """die der das diese dieser dieses es ist sind wir sie ihre ihr bitte gibt hier in im auf und oder um zu den dem ein eine wurde werden wieder gleich bald da fortzufahren fortfahren weiter seite einmal noch für mit nach
+        uns gerade kurz inhalt sehen anzeigen anwendung website angeforderte neu webseite team informiert einen moment geduld ihrem ihren nicht mehr unter von startseite zur""",
+    "es": """la el los las esta este esto ya no en de para por más y o un una se su sus algo salió ha sido a al inicio página favor sitio con continuar pronto lo sentimos está""",
+    "fr": """la le les cette ce ces l d n est pas plus en de du des pour par et ou un une se sa son à au a été votre vos nous vous veuillez continuer site accueil merci plus tard dans interne""",
+}
+CORE_WORDS = frozenset(w for text in CORE.values() for w in text.split())
+SIDE_WORDS = frozenset(w for text in SIDE.values() for w in text.split())
+#: The same for Chinese, where words aren't parted: terms that cover nearly all of a sentence.
+ZH_CORE = re.compile(r"页面|网页|该页|地址|网址|不存在|未找到|找不到|已失效|禁止访问|服务器|错误|拒绝访问|访问被拒绝|无权访问|访问受限|受限|稍后|重试|登录|启用|开启|打开|脚本|浏览器|系统维护|维护|服务暂停|暂停|编号|错误码|检查|返回首页|验证")
+ZH_SIDE = re.compile(r"[您你请的了中或并再试需要未不支持访问以继续查看内容本站首页后前在与和是否此该已被无法功能时间我们正在进行将会很快恢复抱歉对起]|[0-9a-fA-F]+|javascript")
+#: So many of a sentence's words are of the lists; and no sentence of a notice is longer.
+NOTICE_SHARE = 0.8
+NOTICE_WORDS = 18
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_HEX = re.compile(r"(?=.*\d)[0-9a-f]{4,}(?:-[0-9a-f]+)*|\d{1,3}", re.I)
+
+
+def notice_kind(sentence: str) -> str | None:
+    """'notice' if the sentence is made of the words of error pages and
+    notices, 'beside' if only of those that stand there too, else None."""
+    tokens = [t.replace("’", "'").lower() for t in _TOKEN.findall(sentence)]
+    if not tokens or len(tokens) > NOTICE_WORDS:
+        return None
+    if re.search(r"[\u4e00-\u9fff]", sentence):
+        signs = re.sub(r"[\W_]+", "", sentence)
+        core = sum(len(m.group()) for m in ZH_CORE.finditer(signs))
+        side = sum(len(m.group()) for m in ZH_SIDE.finditer(ZH_CORE.sub("", signs)))
+        size = len(signs)
+    else:
+        # An elided article is no part of the word: l'accueil.
+        tokens = [t if t in CORE_WORDS or t in SIDE_WORDS else t.rpartition("'")[2] for t in tokens]
+        core = sum(t in CORE_WORDS or bool(_CODE.fullmatch(t)) for t in tokens)
+        side = sum(t not in CORE_WORDS and not _CODE.fullmatch(t) and (t in SIDE_WORDS or bool(_HEX.fullmatch(t))) for t in tokens)
+        size = len(tokens)
+    if core + side < NOTICE_SHARE * size:
+        return None
+    return "notice" if core else "beside"
+
 
 #: What surrounds any page: menus and footers. Neither real text nor residue.
 FURNITURE = re.compile(r"(?i)^(?:home|docs|search|sign in|log ?in|menu|overview|sessions?|reports?|help|contact|about|imprint|privacy|skip to content|cookie settings|back to top|© .{0,40}|\(c\) .{0,40}|all rights (?:kept|reserved)|(?:\w+ \| )+\w+(?: \w+)?)$")
 QUOTED_LINE = re.compile(r"^\s*(?:\[\d\d:\d\d\]\s*|\d+\.\s+|[-*]\s+|(?:user|assistant|system)\s*:\s*)?>\s?")
-LEAD = re.compile(r"^(?:\s*(?:\[\d\d:\d\d\]|\d+\.(?=\s)|[-*#•]+(?=\s)|(?:user|assistant|system|subject)\s*:(?=\s)))+\s*", re.I)
+LEAD = re.compile(r"^(?:\s*(?:\[\d\d:\d\d\]|\d{1,2}\.(?=\s)|[-*#•]+(?=\s)|(?:user|assistant|system|subject)\s*:(?=\s)))+\s*", re.I)
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+(?=\S)|(?<=[。！？；])\s*| - (?=\S)| – (?=\S)|(?<=\d): (?=\D)")
 OUTER = re.compile(r"^[\s\"'“”‘’*_#=~>|•-]+|[\s\"'“”‘’*_=~|.!?。！？…,;:-]+$")
 
@@ -209,7 +203,7 @@ def shares(text: str, most_real: int = 1 << 30) -> tuple[int, int, int]:
     """(sentences of filler, of error pages and notices, real ones). Counting
     ends where there are more than most_real real ones, which settles the text.
     Latin sentences are filler from the first one of filler on."""
-    filler = notice = real = 0
+    filler = notice = real = beside = 0
     flat = BLOCK_TAG.sub("\n", text)
     flat = TAG.sub("", flat)
     for line in flat.split("\n"):
@@ -234,13 +228,16 @@ def shares(text: str, most_real: int = 1 << 30) -> tuple[int, int, int]:
                 filler += 1
             elif FURNITURE.match(bare):
                 continue
-            elif any(x.match(bare) for x in NOTICES):
+            elif (kind := notice_kind(bare)) == "notice":
                 notice += 1
+            elif kind == "beside":
+                beside += 1
             elif not re.search(r"\w", bare):
                 continue
             else:
                 real += 1
-    return filler, notice, real
+    # What only uses such a page's common words belongs to it where there is one, and is a real sentence elsewhere.
+    return filler, notice, real if notice else real + beside
 
 
 def judge(text: str | None) -> str | None:
