@@ -81,5 +81,8 @@ def findings(token_rows: DataFrame, cards: DataFrame, max_gap: int = 3) -> DataF
 
 
 def of_kind(rows: DataFrame, kind: str = "") -> DataFrame:
-    """One kind, or all but noise."""
+    """One kind, or all but noise. A kind that there isn't is an error."""
+    known = [v[0] for v in KINDS.values()]
+    if kind and kind not in known:
+        raise ValueError(f"no such kind: {kind}; there are {', '.join(sorted(known))}")
     return rows.where(F.col("kind") == kind) if kind else rows.where("kind <> 'noise'")

@@ -131,7 +131,9 @@ def rank_patterns(token_rows: DataFrame, patterns: DataFrame, options: RankOptio
 
 
 def top_per_bucket(cards: DataFrame, top: int) -> DataFrame:
-    """The first `top` cards of each bucket, with the number left out."""
+    """The first `top` cards of each bucket, with the number left out; all if top is 0."""
+    if top <= 0:
+        return cards.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*card_order()[1:]))).withColumn("left_out", F.lit(0).cast("long")).orderBy(*card_order())
     by = Window.partitionBy("bucket").orderBy(*card_order()[1:])
     rows = cards.withColumn("place", F.row_number().over(by))
     totals = cards.groupBy("bucket").agg(F.greatest(F.count(F.lit(1)) - top, F.lit(0)).alias("left_out"))

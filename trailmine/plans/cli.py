@@ -5,12 +5,17 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import functions as F
+
 from ..operators.rank import RankOptions
-from ..session import local_session
+from ..operators.surprise import extremes
+from ..session import Scratch, local_session
 from ..sources import artifact
 from . import commands as c
 from .render import Sink, check_format, document, exemplar, graph, page
 
+#: Rows that any output can have.
+EVERY = (1 << 31) - 2
 LEGEND = "! failed  ? in a failed compound  + run of equal tokens  seqs may have gaps"
 
 
@@ -61,7 +66,8 @@ def run(args: list[str], write=sys.stdout.write) -> int:
     artifact.ensure(spark, a.data, a.root)
     events = artifact.load(spark, a.data)
     view = c.View(a.lens, not a.no_mark_fail, not a.no_collapse, a.no_sidechain) if hasattr(a, "lens") else c.View()
-    limit = a.limit or c.LIMITS.get(a.command, 1_000)
+    # rank shows its first cards of each bucket, without a limit on the rows.
+    limit = a.limit or c.LIMITS.get(a.command, EVERY if a.command == "rank" else 1_000)
     more: dict = {}
     options = RankOptions(a.order, a.script_bits, a.noise_bits, a.delta) if a.command in ("rank", "report") else None
     if a.command == "summary":
@@ -78,7 +84,12 @@ def run(args: list[str], write=sys.stdout.write) -> int:
     elif a.command == "report":
         df = c.report_plan(events, view, a.kind, a.min_support, a.max_gap, a.max_len, options, a.top)
     elif a.command == "surprise":
-        df = c.surprise_plan(events, view, a.order, a.min_toks)
+        scored = Scratch(spark, "surprise").save(c.surprise_plan(events, view, a.order, a.min_toks), "scored")
+        # Half of the rows are the most predictable streams, half the most surprising ones.
+        low, high = extremes(scored, limit)
+        df = low.unionByName(high).distinct().orderBy("bits", "stream")
+        mean = scored.agg(F.avg("bits").alias("mean"), F.count(F.lit(1)).alias("n")).first()
+        more = {"mean_bits": mean["mean"], "streams": mean["n"]}
     elif a.command == "graph":
         df, loops = c.graph_plan(events, view, a.min_count)
         if a.loops:
@@ -93,6 +104,8 @@ def run(args: list[str], write=sys.stdout.write) -> int:
     else:
         sink = Sink(write, limit, a.max_bytes)
         sink.head(LEGEND)
+        for key, value in more.items() if a.command == "surprise" else ():
+            sink.head(f"{key}: {_cell(key, value)}")
         for r in rows:
             sink.row("  ".join(_cell(k, v) for k, v in r.items()))
         sink.close(total)

@@ -33,11 +33,13 @@ def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSess
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or a temporary one
-    where that is unset (tests, single machine)."""
+    where that is unset on a local master; elsewhere it has to be set."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
         found = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _made:
             _made[app] = [tempfile.mkdtemp(prefix="trailmine-")]
