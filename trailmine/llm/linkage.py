@@ -382,6 +382,11 @@ class LinkIndex:
         if self.work is not None:
             self.work.remove()
 
+    def drop(self) -> None:
+        """Removes all but the links."""
+        for name in ("in", "stage", "hits", "asked", "split", "checkpoint"):
+            self.folder.remove(name)
+
     # -- its parts
 
     def _split(self, busy: DataFrame | None, hits: DataFrame) -> DataFrame | None:
@@ -540,6 +545,8 @@ def link_batches(raw_line: DataFrame, source_file: DataFrame, more: dict[str, Co
 
 
 def rejected_lines(raw_line: DataFrame, source_file: DataFrame) -> DataFrame:
-    """first_id, dup_id."""
+    """first_id, dup_id. The index is dropped once the links are there; a
+    LinkIndex of one's own goes on with the batches to come."""
     index, _ = link_batches(raw_line, source_file)
+    index.drop()
     return index.links()
