@@ -1,6 +1,7 @@
 """Problems 1, 6 and 7: against brute force, at chunk borders and on dirty rows."""
 
 import random
+import tracemalloc
 from collections import Counter
 from datetime import datetime
 
@@ -94,6 +95,36 @@ def test_pieces_and_automata_give_the_same_for_any_chunks(monkeypatch, chunk):
     assert got == brute(lists, c)
 
 
+def test_pattern_tasks_hold_little_however_long_the_streams(monkeypatch):
+    """A batch of long pieces is run in portions; weights are given out before there are too many."""
+    rng = random.Random(5)
+    pieces = [[rng.choice("abcdefgh") for _ in range(1000)] for _ in range(150)]
+    rank = {x: k for k, x in enumerate("abcdefgh")}
+    batch = pa.RecordBatch.from_pydict({"sid": list(range(150)), "sid2": [0] * 150, "split": [k % 3 == 0 for k in range(150)], "acts": pieces})
+    make = lambda: patterns._automata(rank, ~np.eye(8, dtype=bool), Constraint())
+    tracemalloc.start()
+    automata = [b for b in make()(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+    def mined():
+        sums, sizes = Counter(), []
+        for m in patterns._mine(8, Constraint())(pa.RecordBatch.from_arrays([*b.columns, pa.array([1] * b.num_rows)], names=[*b.schema.names, "weight"]) for b in automata):
+            sizes.append(m.num_rows)
+            rows = m.to_pylist()
+            assert len({(tuple(r["pattern"]), r["sid"]) for r in rows}) == len(rows)
+            for r in rows:
+                key = tuple(r["pattern"]), r["sid"]
+                sums[key] = sums[key] + r["n"] if r["sid"] is None else 1
+        return sums, max(sizes)
+
+    whole, _ = mined()
+    monkeypatch.setattr(patterns, "WEIGHTS", 2_000)
+    parts, most = mined()
+    assert parts == whole and most < 12_000
+
+
 def test_patterns_of_nothing(spark):
     assert frequent_patterns(frame(spark, [])).collect() == []
     assert frequent_patterns(frame(spark, streams([list("abc")]))).collect() == []

@@ -24,6 +24,10 @@ from .chunks import batches_of_streams, codes_of, sorted_events
 
 #: Events of a stream in one piece, besides the overlap. Only the size of rows depends on it.
 PIECE = 1024
+#: Events whose states are held at once; a piece is never cut.
+HELD = 1 << 13
+#: Patterns whose weights a task holds before it gives them out to be added up.
+WEIGHTS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -146,6 +150,19 @@ def _pieces(reach: int, gap: int):
     return run
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most HELD events or one piece: a batch has
+    a fixed number of pieces, but those of a long stream are long."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("acts")), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + HELD, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _coded(batch: pa.RecordBatch, rank: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Flat item codes of the pieces, -1 where no frequent item is, and the
     number of the piece of each."""
@@ -164,7 +181,7 @@ def _pairs(rank: dict[str, int], gap: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(m * m, np.int64)
-        for batch in batches:
+        for batch in _portions(batches):
             codes, piece = _coded(batch, rank)
             found = []
             for d in range(1, gap + 1):
@@ -206,7 +223,7 @@ def _automata(rank: dict[str, int], follows: np.ndarray, c: Constraint):
     wide = np.uint8 if base <= 250 else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             codes, piece = _coded(batch, rank)
             n = len(codes)
             if not n or not m:
@@ -277,7 +294,9 @@ def _automata(rank: dict[str, int], follows: np.ndarray, c: Constraint):
 
 def _mine(m: int, c: Constraint):
     """Adds up the weights of the patterns that the automata accept. Patterns
-    of split streams keep their stream, as several automata can hold them."""
+    of split streams keep their stream, as several automata can hold them.
+    Sums are given out whenever there are WEIGHTS of them, so that a task holds no
+    more however many patterns it meets; they are added up after it."""
     base = m + 1
     wide = np.uint8 if base <= 250 else np.uint16
     schema = pa.schema([("pattern", pa.list_(pa.int32())), ("sid", pa.int64()), ("sid2", pa.int64()), ("n", pa.int64())])
@@ -294,19 +313,28 @@ def _mine(m: int, c: Constraint):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight: dict[tuple[int, ...], int] = {}
-        for batch in batches:
-            found: list[tuple] = []
-            for automaton, sid, sid2, n in zip(*(batch.column(x).to_pylist() for x in ("automaton", "sid", "sid2", "weight"))):
-                for p in patterns(automaton):
+        own: set[tuple] = set()  # (pattern, stream) of split streams
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*zip(*own), [None] * len(own)], schema.types)], schema=schema)
+            if weight:
+                none = pa.nulls(len(weight), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(weight), schema.types[0]), none, none, pa.array(list(weight.values()), pa.int64())], schema=schema)
+            own.clear()
+            weight.clear()
+
+        for b in batches:
+            for batch in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000)):
+                for automaton, sid, sid2, n in zip(*(batch.column(x).to_pylist() for x in ("automaton", "sid", "sid2", "weight"))):
                     if sid is None:
-                        weight[p] = weight.get(p, 0) + n
+                        for p in patterns(automaton):
+                            weight[p] = weight.get(p, 0) + n
                     else:
-                        found.append((list(p), sid, sid2, None))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), schema.types)], schema=schema)
-        if weight:
-            none = pa.nulls(len(weight), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(list, weight)), pa.list_(pa.int32())), none, none, pa.array(list(weight.values()), pa.int64())], schema=schema)
+                        own.update((p, sid, sid2) for p in patterns(automaton))
+                    if len(weight) + len(own) >= WEIGHTS:
+                        yield from sums()
+        yield from sums()
 
     return run
 
