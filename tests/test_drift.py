@@ -111,3 +111,42 @@ def test_changes_come_from_ingested_rows(spark):
         "type": (["number", "string"], 2), "timestamp": (["number", "string"], 2), "isSidechain": (["boolean", "string"], 2), "message": (["object"], 1), "message.role": (["string"], 1), "message.content": (["array"], 1),
         "message.content[].id": (["number"], 1), "x": (["object"], 1), "x.y": (["number"], 1),
     }
+
+
+def test_tasks_hold_few_files_at_once(monkeypatch):
+    """Whole files are given out as they end, one of very many fields in parts; a batch of many files is compared a few at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from trailmine.operators import drift
+
+    lines = [(f, json.dumps({"type": "user", f"k{k % 7}": k, "t": [{"a": f}]})) for f in range(40) for k in range(9)] + [(99, json.dumps({f"x{k}": k, "y": k})) for k in range(300)]
+
+    def profiled(held, size):
+        monkeypatch.setattr(drift, "HELD", held)
+        batches = (pa.RecordBatch.from_pydict({"file_id": [f for f, _ in lines[at : at + size]], "body": [b for _, b in lines[at : at + size]]}) for at in range(0, len(lines), size))
+        found, most = {}, 0
+        for b in drift._profile_rows(batches):
+            rows = b.to_pylist()
+            most = max(most, sum(len(r["fields"]) for r in rows))
+            for r in rows:
+                found.setdefault(r["file_id"], []).extend(r["fields"])
+        return {f: {x.path: x for x in drift._fields(rows)} for f, rows in found.items()}, most
+
+    whole, _ = profiled(10_000, 10_000)
+    parts, most = profiled(20, 13)
+    assert parts == whole and len(whole) == 41 and most < 100
+
+    def of(k):
+        return [{"path": f"f{x}", "kinds": ["string"], "n": 9, "shapes": [("s:a", 9)], "sketch": [k * 10_000_000 + x * 1_000 + h for h in range(64)]} for x in range(20)]
+
+    field = pa.struct([("path", pa.string()), ("kinds", pa.list_(pa.string())), ("n", pa.int64()), ("shapes", pa.map_(pa.string(), pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    count = pa.array([9] * 600, pa.int64())
+    fields_ = pa.array([of(k) for k in range(600)], pa.list_(field))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), fields_, count, fields_, count], names=["file_id", "old", "old_lines", "new", "new_lines"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in drift._compare_rows(iter([batch]))) == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6

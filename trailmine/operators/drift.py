@@ -14,10 +14,11 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -30,7 +31,12 @@ RENAME_SCORE = 0.5
 #: so many in a file and field. A bottom-k sketch, the same for any order of rows.
 SKETCH = 64
 
-FILE_PROFILE = "file_id long, path string, kinds array<string>, n long, shapes map<string,long>, sketch array<long>"
+#: Fields of whole files that a task holds before it gives them out; a file with more is given out in parts.
+HELD = 2000
+#: Files that are compared at once.
+FILES = 50
+
+FILE_PROFILE = "file_id long, fields array<struct<path:string,kinds:array<string>,n:long,shapes:map<string,long>,sketch:array<long>>>"
 
 _SHAPES = [
     ("uuid", re.compile(r"\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?", re.I)),
@@ -111,37 +117,64 @@ def walk(value, path: str = "") -> Iterator[tuple[str, object]]:
 
 
 def _profile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("kinds", pa.list_(pa.string())), ("n", pa.int64()), ("shapes", pa.map_(pa.string(), pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """A row with the fields of each file, from lines that are sorted by file;
+    several for a file of very many fields. Each line is ingested (strictly) and
+    profiled as it is, so that nothing has to be written and read in between."""
+    field = pa.struct([("path", pa.string()), ("kinds", pa.list_(pa.string())), ("n", pa.int64()), ("shapes", pa.map_(pa.string(), pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    files: dict[int, dict[str, list]] = {}
+    held = 0
+
+    def rows() -> pa.RecordBatch:
+        made = [[{"path": p, "kinds": sorted(k), "n": n, "shapes": list(s.items()), "sketch": sorted(h)[:SKETCH]} for p, (k, n, s, h) in fields.items()] for fields in files.values()]
+        out = pa.RecordBatch.from_arrays([pa.array(list(files), pa.int64()), pa.array(made, pa.list_(field))], names=["file_id", "fields"])
+        files.clear()
+        return out
+
     for b in batches:
-        fields: dict[tuple[int, str], list] = {}
-        typed = [(t, b.column(t.column).to_pylist()) for t in TARGET]
-        for k, (file_id, readable, rescued) in enumerate(zip(*(b.column(c).to_pylist() for c in ("file_id", "readable", "rescued")))):
-            if not readable or file_id is None:
+        for file_id, body in zip(b.column("file_id").to_pylist(), b.column("body").to_pylist()):
+            value = parse(body)
+            if file_id is None or value is None:
                 continue
-            value = json.loads(rescued) if rescued else {}
-            for t, values in typed:
-                if values[k] is not None:
-                    _put(value, t.path, _untyped(values[k], t.type))
+            if held >= HELD and file_id not in files or held >= 4 * HELD:
+                yield rows()
+                held = 0
+            typed = _fill(value, TARGET, {}, strict=True)
+            for t in TARGET:
+                if typed.get(t.column) is not None:
+                    _put(value, t.path, _untyped(typed[t.column], t.type))
+            fields = files.setdefault(file_id, {})
+            held -= len(fields)
             for path, v in walk(value):
-                own = fields.get((file_id, path))
+                own = fields.get(path)
                 if own is None:
-                    own = fields[file_id, path] = [set(), 0, {}, set()]
+                    own = fields[path] = [set(), 0, {}, set()]
                 own[0].add(kind_of(v))
                 own[1] += 1
                 s = shape_of(v)
                 own[2][s] = own[2].get(s, 0) + 1
                 own[3].add(xxhash.xxh64_intdigest(v if isinstance(v, str) else json.dumps(v, sort_keys=True)) >> 1)
-        rows = [{"file_id": f, "path": p, "kinds": sorted(k), "n": n, "shapes": list(s.items()), "sketch": sorted(h)[:SKETCH]} for (f, p), (k, n, s, h) in fields.items()]
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                if len(own[3]) > 4 * SKETCH:
+                    own[3] = set(sorted(own[3])[:SKETCH])
+            held += len(fields)
+    if files:
+        yield rows()
+
+
+def _by_file(log_line: DataFrame) -> DataFrame:
+    """FILE_PROFILE: lines go to ranges of (file, line), so that a file's lines
+    meet in one task before they are summed up, and a hot file is cut over many.
+    A file that is cut has a row in each."""
+    lines = log_line.select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("long").alias("line_no"), "body").where("file_id is not null")
+    lines = lines.repartitionByRange("file_id", "line_no").sortWithinPartitions("file_id").drop("line_no")
+    return lines.mapInArrow(_profile_rows, FILE_PROFILE)
 
 
 def profiles(log_line: DataFrame) -> DataFrame:
     """A row for each file and field: JSON types, number of values, shapes with
     counts, and the values with the lowest hashes, from the lines as ingested:
     a target's column has the values of the JSON type that it is for, the rescue
-    column has all others. Summed up for each batch of lines before the shuffle,
-    so that a hot file is no hot group."""
-    rows = ingest(log_line, strict=True).mapInArrow(_profile_rows, FILE_PROFILE)
+    column has all others. Summed up for each file before the shuffle."""
+    rows = _by_file(log_line).select("file_id", F.explode("fields").alias("x")).select("file_id", "x.*")
     return rows.groupBy("file_id", "path").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"),
         F.sum("n").alias("n"),
@@ -227,24 +260,35 @@ def compare(old: list[Field], new: list[Field], least: float = RENAME_SCORE) ->
     return [c for c in changes if not below(c[1] or c[2], tops)]
 
 
-def _fields(rows, lines: int) -> list[Field]:
-    out = []
+def _fields(rows) -> list[Field]:
+    """Fields of a file; what several parts of it say is added up."""
+    out: dict[str, Field] = {}
     for r in rows or ():
-        shapes: dict[str, int] = {}
+        f = out.setdefault(r["path"], Field(r["path"], [], 0, {}, set(), 0))
+        f.kinds = sorted({*f.kinds, *r["kinds"]})
+        f.n += r["n"]
         for k, n in r["shapes"]:
-            shapes[k] = shapes.get(k, 0) + n
-        out.append(Field(r["path"], r["kinds"], r["n"], shapes, set(r["sketch"]), lines))
-    return out
+            f.shapes[k] = f.shapes.get(k, 0) + n
+        f.sketch |= set(r["sketch"])
+    lines = max((f.n for f in out.values() if "." not in f.path), default=0)
+    for f in out.values():
+        f.lines = lines
+        if len(f.sketch) > SKETCH:
+            f.sketch = set(sorted(f.sketch)[:SKETCH])
+    return list(out.values())
 
 
 def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of each file, of FILES files at a time: as Python objects the fields of
+    a batch of files take many times the memory that they have in it."""
     schema = pa.schema([("file_id", pa.int64()), ("change", pa.string()), ("old_field", pa.string()), ("new_field", pa.string())])
     for b in batches:
-        out = []
-        for r in b.to_pylist():
-            for change, old, new in compare(_fields([dict(x, shapes=[tuple(e.values()) for e in x["shapes"]]) for x in r["old"]], r["old_lines"]), _fields([dict(x, shapes=[tuple(e.values()) for e in x["shapes"]]) for x in r["new"]], r["new_lines"])):
-                out.append({"file_id": r["file_id"], "change": change, "old_field": old, "new_field": new})
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+        for at in range(0, b.num_rows, FILES):
+            out = []
+            for r in b.slice(at, FILES).to_pylist():
+                for change, old, new in compare(_fields(r["old"]), _fields(r["new"])):
+                    out.append({"file_id": r["file_id"], "change": change, "old_field": old, "new_field": new})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
 def schema_changes(log_line: DataFrame, log_file: DataFrame) -> DataFrame:
@@ -258,22 +302,13 @@ def schema_changes(log_line: DataFrame, log_file: DataFrame) -> DataFrame:
     below a changed field or below `input` is not reported. Lines of unknown
     files, repeated rows and extra columns change nothing.
     """
-    fields = profiles(log_line)
-    wide = fields.groupBy("file_id").agg(
-        F.collect_list(F.struct("path", "kinds", "n", "shapes", "sketch")).alias("fields"), F.max(F.when(~F.col("path").contains("."), F.col("n"))).alias("lines")
-    )
     files = log_file.where("file_id is not null and series_id is not null and ordinal is not null").groupBy("series_id", "ordinal").agg(F.min("file_id").alias("file_id"))
-    wide = files.join(wide, "file_id", "left")
-    none = F.array().cast(fields_type(wide))
-    wide = wide.select("file_id", "series_id", "ordinal", F.coalesce("fields", none).alias("fields"), F.coalesce("lines", F.lit(0)).alias("lines"))
-    now = wide.select("file_id", "series_id", F.col("ordinal"), F.col("fields").alias("new"), F.col("lines").alias("new_lines"))
-    old = wide.select("series_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("fields").alias("old"), F.col("lines").alias("old_lines"))
-    both = now.join(old, ["series_id", "ordinal"]).select(F.col("file_id").cast("long").alias("file_id"), "old", "old_lines", "new", "new_lines")
-    return both.mapInArrow(_compare_rows, "file_id long, change string, old_field string, new_field string")
-
-
-def fields_type(wide: DataFrame) -> str:
-    return wide.schema["fields"].dataType.simpleString()
+    wide = files.join(_by_file(log_line).groupBy("file_id").agg(F.flatten(F.collect_list("fields")).alias("fields")), "file_id", "left")
+    wide = wide.select(F.col("file_id").cast("long").alias("file_id"), "series_id", "ordinal", F.coalesce("fields", F.array().cast(wide.schema["fields"].dataType)).alias("new"))
+    # A file meets the one before it in its series; both go through one shuffle.
+    at = Window.partitionBy("series_id").orderBy("ordinal")
+    both = wide.withColumn("old", F.when(F.lag("ordinal").over(at) == F.col("ordinal") - 1, F.lag("new").over(at))).where("old is not null")
+    return both.select("file_id", "old", "new").mapInArrow(_compare_rows, "file_id long, change string, old_field string, new_field string")
 
 
 # ---- one consistent table -----------------------------------------------------------
@@ -302,18 +337,17 @@ APPROVED = (
     Target("model", "message.model", "string"), Target("stop", "message.stop", "string"), Target("usage", "message.usage", "json"),
 )
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _TRUE, _FALSE = {"true", "1", "yes"}, {"false", "0", "no"}
 
 
 def _iso_micros(text: str) -> int | None:
-    from datetime import datetime, timezone
-
     try:
         at = datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
     except ValueError:
         return None
     at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
-    span = at - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    span = at - _EPOCH
     return (span.days * 86400 + span.seconds) * 1_000_000 + span.microseconds
 
 
@@ -357,7 +391,9 @@ def _untyped(value, of: str):
     """The JSON value of a typed one."""
     if of == "json":
         return json.loads(value)
-    return value.isoformat(timespec="milliseconds").replace("+00:00", "Z") if of == "timestamp" else value
+    if of == "timestamp":
+        return (_EPOCH + timedelta(microseconds=value)).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    return value
 
 
 def _take(row: dict, path: str):
